@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The marks that separate the words of a net name.
 SEPARATORS = "-+. /"
@@ -16,7 +17,7 @@ def _folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.upper(text), SEPARATORS, "_" * len(SEPARATORS)), "_+", "_"), F.lit("_"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(names: pd.Series) -> pd.Series:
     """NFKC, without control and format characters."""
     seen: dict = {}
@@ -40,6 +41,11 @@ def normal_name_ascii(name: Column) -> Column:
     return _folded(name)
 
 
+def compatible_text(text: Column) -> Column:
+    """Unicode compatibility form without control and format characters; null stays null."""
+    return F.when(has_plain_ascii(text), text).otherwise(_compatible(text))
+
+
 def normal_name(name: Column, *, any_script: bool = True) -> Column:
     """The normal form under which two spellings are the same net; null stays null.
 
@@ -49,7 +55,7 @@ def normal_name(name: Column, *, any_script: bool = True) -> Column:
     """
     if not any_script:
         return _folded(F.regexp_replace(name, r"[\p{Cc}\p{Cf}]", ""))
-    return _folded(F.when(has_plain_ascii(name), name).otherwise(_compatible(name)))
+    return _folded(compatible_text(name))
 
 
 def rejected_name(name: Column) -> Column:

@@ -20,25 +20,23 @@ from pyspark.sql import functions as F
 
 # Nanometres in a unit, and how units are written (lower case).
 UNIT_NM = {"mm": 1_000_000, "cm": 10_000_000, "um": 1_000, "nm": 1, "mil": 25_400, "inch": 25_400_000}
-UNIT_TEXT = {
-    "mm": r"millimet(?:er|re)s?|mm",
-    "cm": r"centimet(?:er|re)s?|cm",
-    "um": r"micromet(?:er|re)s?|microns?|[µμu]m",
-    "nm": r"nanomet(?:er|re)s?|nm",
-    "mil": r"mils?|thous?|th",
-    "inch": r'inch(?:es)?|in|["″”]',
+UNIT_WORDS = {
+    "mm": ("mm", "millimeter", "millimeters", "millimetre", "millimetres"),
+    "cm": ("cm", "centimeter", "centimeters", "centimetre", "centimetres"),
+    "um": ("um", "\u00b5m", "\u03bcm", "micron", "microns", "micrometer", "micrometers", "micrometre", "micrometres"),
+    "nm": ("nm", "nanometer", "nanometers", "nanometre", "nanometres"),
+    "mil": ("mil", "mils", "thou", "thous", "th"),
+    "inch": ("in", "inch", "inches", '"', "\u2033", "\u201d"),
 }
-ANY_UNIT = "|".join(UNIT_TEXT.values())
+ANY_UNIT = "|".join(sorted((w for words in UNIT_WORDS.values() for w in words), key=len, reverse=True))
 SHAPE = r"^\s*(?:round|rect|oval|r)\s*"
 NUMBER = r"[0-9]*[.,]?[0-9]+"
 MAX_LOG, BIN = 30.0, 0.01
 
 
 def _unit(text: Column) -> Column:
-    found = F.lit(None).cast("string")
-    for unit, pattern in reversed(UNIT_TEXT.items()):
-        found = F.when(text.rlike(f"^(?:{pattern})$"), unit).otherwise(found)
-    return found
+    pairs = [F.lit(x) for unit, words in UNIT_WORDS.items() for word in words for x in (word, unit)]
+    return F.try_element_at(F.create_map(*pairs), text)
 
 
 def size_number(raw_name: Column) -> Column:
@@ -59,7 +57,8 @@ def written_unit(raw_name: Column) -> Column:
     bracket = F.regexp_extract(name, SHAPE + rf"\[\s*({ANY_UNIT})\s*\]", 1)
     last = F.regexp_extract(name, rf"[0-9] ?({ANY_UNIT})$", 1)
     mark = F.regexp_extract(name, r"[0-9] ?([im])$", 1)
-    return F.coalesce(_unit(after), _unit(bracket), _unit(last), F.when(mark == "i", "mil").when(mark == "m", "um"))
+    found = F.coalesce(*[F.nullif(text, F.lit("")) for text in (after, bracket, last)], F.when(mark == "i", "mil").when(mark == "m", "um"))
+    return _unit(found)
 
 
 def job_unit(units: Column) -> Column:
@@ -161,14 +160,13 @@ def symbol_widths(symbols: DataFrame, jobs: DataFrame) -> DataFrame:
 
     latest = Window.partitionBy("symbol_id").orderBy(F.col("loaded_at").desc_nulls_last(), F.col("raw_name").asc_nulls_last(), F.col("width_mm").asc_nulls_last())
     columns = ["symbol_id", "job_id", "layer", "raw_name", "width_mm", "loaded_at"]
-    one = symbols.filter("symbol_id is not null").select(*columns).withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n", "loaded_at")
-    rest = symbols.filter("symbol_id is null").select(*columns).drop("loaded_at")
+    read = symbols.select(*columns, size_number(F.col("raw_name")).alias("number"), written_unit(F.col("raw_name")).alias("__written"))
+    one = read.filter("symbol_id is not null").withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n", "loaded_at")
+    rest = read.filter("symbol_id is null").drop("loaded_at")
     per_job = jobs.groupBy("job_id").agg(F.max(job_unit(F.col("units"))).alias("__job_unit"))
     rows = (
         one.unionByName(rest)
         .join(per_job, "job_id", "left")
-        .withColumn("number", size_number(F.col("raw_name")))
-        .withColumn("__written", written_unit(F.col("raw_name")))
         .withColumn("unit", F.when(F.col("number").isNotNull(), F.coalesce("__written", "__job_unit")))
     )
     done = with_common_unit(rows, group="job_id")
