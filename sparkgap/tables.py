@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` under `sf_dir`, a file or a folder of files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with `columns` added such that each is computed once.
+
+    A plain projection is merged into the ones after it, and an expression used
+    several times there is copied as often; behind a generator it is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
