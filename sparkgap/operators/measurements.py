@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.estimators import effective_voltage, ipc_voltage, layer_pollution, without_particle
 from ..functions.layers import layer_key, layer_role
+from ..tables import settle
 
 
 def critical_pairs(measurements: DataFrame, threshold_mm: float) -> DataFrame:
@@ -56,12 +57,13 @@ def recomputed_voltages(measurements: DataFrame, *, cti: float = 175.0, pollutio
     The role comes from the layer's name alone (tables of measurements don't hold
     the stack-up): names that say nothing count as external.
     """
-    role = layer_role(layer_key(F.col("layer")), F.lit(0), F.lit(1))
-    degree = layer_pollution(role, F.lit(coated), pollution)
-    reduced = without_particle(F.col("clearance_mm"), role, particle_mm)
-    return measurements.withColumn("layer_role", role).withColumn("effective_max_voltage_v", F.when(F.col("clearance_mm") >= 0, effective_voltage(reduced, cti, degree, altitude_m))).withColumn(
-        "ipc2221a_max_voltage_v", ipc_voltage(F.col("clearance_mm"), role, altitude_m)
-    )
+    placed = settle(measurements, layer_role=layer_role(layer_key(F.col("layer")), F.lit(0), F.lit(1)))
+    role = F.col("layer_role")
+    reduced = F.when(F.col("clearance_mm") >= 0, without_particle(F.col("clearance_mm"), role, particle_mm))
+    ready = settle(placed, __degree=layer_pollution(role, F.lit(coated), pollution), __reduced=reduced)
+    volts = effective_voltage(F.col("__reduced"), cti, F.col("__degree"), altitude_m)
+    done = settle(ready.drop("effective_max_voltage_v", "ipc2221a_max_voltage_v"), effective_max_voltage_v=volts)
+    return settle(done, ipc2221a_max_voltage_v=ipc_voltage(F.col("clearance_mm"), role, altitude_m)).drop("__degree", "__reduced")
 
 
 def isolation_check(measurements: DataFrame, isolated: DataFrame, *, clearance_mm: float, creepage_mm: float, factor: float = 1.0, scope: Sequence[str] = ()) -> DataFrame:

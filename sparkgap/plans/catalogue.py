@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import found
+from . import boards, found
 
-FLAGSHIP = "p1_found"
-QUERIES = {**found.QUERIES}
-ORACLES = {**found.ORACLES}
+FLAGSHIP = "per_net_minimum"
+QUERIES = {**found.QUERIES, **boards.QUERIES}
+ORACLES = {**found.ORACLES, **boards.ORACLES}
