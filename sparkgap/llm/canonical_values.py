@@ -46,25 +46,35 @@ def _deleted_once(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.concat(F.substring(text, F.lit(1), k - 1), F.substring(text, k + 1, F.length(text))))
 
 
-def deletions(text: Column) -> Column:
-    """The text and all that is left of it without one or two characters (one up to length 5)."""
-    once = F.when(F.length(text) > 2, _deleted_once(text)).otherwise(F.array().cast("array<string>"))
-    twice = F.when(F.length(text) > 5, F.flatten(F.transform(once, _deleted_once))).otherwise(F.array().cast("array<string>"))
+def deletions(text: Column, twice_from: int) -> Column:
+    """The text and all that is left of it without one character, and from a length on without two."""
+    none = F.array().cast("array<string>")
+    once = F.when(F.length(text) > 2, _deleted_once(text)).otherwise(none)
+    twice = F.when(F.length(text) >= twice_from, F.flatten(F.transform(once, _deleted_once))).otherwise(none)
     return F.array_distinct(F.concat(F.array(text), once, twice))
 
 
+def _swapped(text: Column) -> Column:
+    """The text with each pair of neighbours changed places."""
+    places = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        places, lambda k: F.concat(F.substring(text, F.lit(1), k - 1), F.substring(text, k + 1, F.lit(1)), F.substring(text, k, F.lit(1)), F.substring(text, k + 2, F.length(text)))
+    )
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Edit distance in which neighbours that changed places count once."""
-    plain = F.levenshtein(a, b)
-    swapped = (plain == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
-    return F.when(swapped, 1).otherwise(plain)
+    """Edit distance in which neighbours that changed places count once; exact up to 2, never too low beyond."""
+    swaps = _swapped(a)
+    after_one = F.array_min(F.transform(swaps, lambda s: F.levenshtein(s, b))) + 1
+    least = F.least(F.levenshtein(a, b), F.coalesce(after_one, F.lit(1_000_000)))
+    return F.when((least > 2) & F.arrays_overlap(swaps, _swapped(b)), 2).otherwise(least)
 
 
 def close_texts(typed: DataFrame, words: DataFrame) -> DataFrame:
     """(kind, typed, word, edits) of distinct texts within the distance allowed for the word."""
     longest = words.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("__longest"))
-    left = typed.select("kind", "typed").distinct().join(F.broadcast(longest), F.length("typed") <= F.col("__longest") + 2).select("kind", "typed", F.explode(deletions(F.col("typed"))).alias("__part"))
-    right = words.select("kind", "word").distinct().select("kind", "word", F.explode(deletions(F.col("word"))).alias("__part"))
+    left = typed.select("kind", "typed").distinct().join(F.broadcast(longest), F.length("typed") <= F.col("__longest") + 2).select("kind", "typed", F.explode(deletions(F.col("typed"), 4)).alias("__part"))
+    right = words.select("kind", "word").distinct().select("kind", "word", F.explode(deletions(F.col("word"), 6)).alias("__part"))
     met = left.join(right, ["kind", "__part"]).select("kind", "typed", "word").distinct()
     return met.withColumn("edits", edits(F.col("typed"), F.col("word"))).filter(F.col("edits") <= allowed_edits(F.length("word")))
 

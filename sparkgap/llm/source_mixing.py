@@ -22,7 +22,7 @@ from ..session import cut_lineage
 BITS, LEVELS = 12, 5
 BUCKETS = 1 << BITS
 MAX_SOURCES = 1_000
-ROUNDS, CLOSE_ENOUGH = 6, 1e-4
+ROUNDS, CLOSE_ENOUGH = 4, 1e-3
 
 
 def source_name(source: Column) -> Column:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_out
+
 # Function words of the languages that occur.
 FUNCTION_WORDS = frozenset(
     # English
@@ -130,7 +132,8 @@ def stuffing(text: str | None) -> tuple[float, float, float, float]:
 def stuffed_pages(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
     """(doc_id, stuffed_share, recurring_share, barren_share, linked_share, is_stuffed) of every document.
 
-    Whole texts, one pass, no shuffle. Null, empty and markless texts have shares
+    Whole texts in one pass; a shuffle only if there are fewer partitions than
+    cores. Null, empty and markless texts have shares
     of 0 and are no case. Repeated rows each get their judgement.
     """
 
@@ -143,4 +146,5 @@ def stuffed_pages(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
             yield out
 
     schema = "doc_id bigint, stuffed_share double, recurring_share double, barren_share double, linked_share double, is_stuffed boolean"
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(judged, schema)
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread_out(texts).mapInPandas(judged, schema)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_out
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.tiktoken"
 LONGEST_PIECE = 100_000  # characters encoded at once
 
@@ -44,7 +46,7 @@ def count_tokens(text: str | None, encoding) -> int:
 def token_sizes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokenizer: str | None = None) -> DataFrame:
     """(doc_id, *keep, n_tokens) of every document, whole texts; null and empty texts have 0 tokens.
 
-    One pass without a shuffle. Repeated rows each get their size.
+    One pass; a shuffle only if there are fewer partitions than cores. Repeated rows each get their size.
     """
     path = tokenizer or tokenizer_path()
     used = documents.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
@@ -56,4 +58,4 @@ def token_sizes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             batch["n_tokens"] = [count_tokens(t, encoding) for t in batch["__text"]]
             yield batch.drop(columns="__text")
 
-    return used.mapInPandas(sized, f"{schema}, n_tokens bigint")
+    return spread_out(used).mapInPandas(sized, f"{schema}, n_tokens bigint")
