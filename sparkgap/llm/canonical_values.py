@@ -63,11 +63,20 @@ def _swapped(text: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Edit distance in which neighbours that changed places count once; exact up to 2, never too low beyond."""
+    """Edit distance in which neighbours that changed places count once; exact up to 2, never too low beyond.
+
+    A swap costs two plain edits, so plain distances up to 1 are final, 2 only
+    differs for equal letters, and only 3 and 4 at nearly equal length need a try
+    of every swap.
+    """
+    plain = F.levenshtein(a, b)
+    letters = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
     swaps = _swapped(a)
     after_one = F.array_min(F.transform(swaps, lambda s: F.levenshtein(s, b))) + 1
-    least = F.least(F.levenshtein(a, b), F.coalesce(after_one, F.lit(1_000_000)))
-    return F.when((least > 2) & F.arrays_overlap(swaps, _swapped(b)), 2).otherwise(least)
+    swapped = F.least(plain, F.coalesce(after_one, plain))
+    twice = F.when((swapped > 2) & F.arrays_overlap(swaps, _swapped(b)), 2).otherwise(swapped)
+    near = F.abs(F.length(a) - F.length(b)) <= 1
+    return F.when(plain <= 1, plain).when(plain == 2, F.when(letters, swapped).otherwise(2)).when((plain <= 4) & near, twice).otherwise(plain)
 
 
 def close_texts(typed: DataFrame, words: DataFrame) -> DataFrame:
@@ -75,7 +84,8 @@ def close_texts(typed: DataFrame, words: DataFrame) -> DataFrame:
     longest = words.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("__longest"))
     left = typed.select("kind", "typed").distinct().join(F.broadcast(longest), F.length("typed") <= F.col("__longest") + 2).select("kind", "typed", F.explode(deletions(F.col("typed"), 4)).alias("__part"))
     right = words.select("kind", "word").distinct().select("kind", "word", F.explode(deletions(F.col("word"), 6)).alias("__part"))
-    met = left.join(right, ["kind", "__part"]).select("kind", "typed", "word").distinct()
+    tasks = 2 * typed.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work for each
+    met = left.join(right, ["kind", "__part"]).select("kind", "typed", "word").repartition(tasks, "kind", "typed", "word").distinct()
     return met.withColumn("edits", edits(F.col("typed"), F.col("word"))).filter(F.col("edits") <= allowed_edits(F.length("word")))
 
 
