@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net_names import compatible_text
+from ..session import cut_lineage
 
 # Words around a value that name no entry; dropped at its ends if the list doesn't use them.
 ANNOTATIONS = ("sig", "signal", "net", "class", "type", "rev")
@@ -81,8 +82,8 @@ def edits(a: Column, b: Column) -> Column:
 
 def close_texts(typed: DataFrame, words: DataFrame) -> DataFrame:
     """(kind, typed, word, edits) of distinct texts within the distance allowed for the word."""
-    longest = words.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("__longest"))
-    left = typed.select("kind", "typed").distinct().join(F.broadcast(longest), F.length("typed") <= F.col("__longest") + 2).select("kind", "typed", F.explode(deletions(F.col("typed"), 4)).alias("__part"))
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    left = typed.select("kind", "typed").filter(F.length("typed") <= longest + 2).distinct().select("kind", "typed", F.explode(deletions(F.col("typed"), 4)).alias("__part"))
     right = words.select("kind", "word").distinct().select("kind", "word", F.explode(deletions(F.col("word"), 6)).alias("__part"))
     tasks = 2 * typed.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work for each
     met = left.join(right, ["kind", "__part"]).select("kind", "typed", "word").repartition(tasks, "kind", "typed", "word").distinct()
@@ -113,11 +114,12 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     longer than any name can't match. An empty list maps everything to 0.
     """
     hint = F.broadcast if _is_short(reference) else (lambda df: df)
-    forms = reference_forms(reference)
+    forms = cut_lineage(reference_forms(reference))
     word_list = forms.select("kind", F.explode("tokens").alias("word"))
     used = word_list.groupBy("kind").agg(F.collect_set(F.when(F.col("word").isin(*ANNOTATIONS), F.col("word"))).alias("__used"))
     distinct = values.filter(F.trim("value") != "").select("kind", "value").distinct()
     typed = distinct.join(hint(used), "kind", "left").withColumn("tokens", without_annotations(typed_tokens(F.col("value")), F.coalesce("__used", F.array().cast("array<string>")))).drop("__used")
+    typed = cut_lineage(typed)  # read by four branches
 
     # each word's weight: the rarer in the list, the higher
     n_forms = forms.groupBy("kind").agg(F.count("*").alias("__n"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -139,6 +139,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
     goals = spark.createDataFrame([(s, float(a), int(b)) for s, (a, b) in goal.items()], "source string, target_share double, max_repeats int")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
     got = goals.join(got, "source", "left").fillna(0, ["n_tokens", "n_documents", "most_copies"])
-    whole = got.agg(F.sum("n_tokens").alias("__all"))
-    report = got.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.col("n_tokens") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0))).drop("__all")
+    everything = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # a row per target source
+    report = got.withColumn("actual_share", F.coalesce(F.col("n_tokens") / F.nullif(everything, F.lit(0)), F.lit(0.0)))
     return mix, report
