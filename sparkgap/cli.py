@@ -42,14 +42,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def measure(features: DataFrame, settings: Settings, within_mm: float) -> DataFrame:
+def stack_roles(layers: DataFrame) -> DataFrame:
+    """(job_id, layer, layer_role) of every copper layer, from its name and its place in the archive's stack-up."""
+    stack = board_archive.signal_layers(layers).groupBy("job_id", layer_key(F.col("layer")).alias("layer")).agg(F.min("ordinal").alias("ordinal"))
+    return mea.layer_roles(stack, "job_id", "layer", "ordinal")
+
+
+def measure(features: DataFrame, layers: DataFrame, settings: Settings, within_mm: float) -> DataFrame:
     """Measured pairs of boards with both voltages."""
     placed = with_shapes(features.withColumn("layer", layer_key(F.col("layer"))))
     if settings.layers:
         placed = placed.filter(F.col("layer").isin(*[name.strip().upper() for name in settings.layers]))
     pairs = composited_pairs(placed, within_mm, ["job_id", "layer"])
     return mea.recomputed_voltages(
-        pairs, cti=settings.cti, pollution=settings.pollution_degree, altitude_m=settings.altitude_m, particle_mm=settings.metallic_particle_size_mm, coated=settings.external_conformal_coating
+        pairs, roles=stack_roles(layers), cti=settings.cti, pollution=settings.pollution_degree, altitude_m=settings.altitude_m, particle_mm=settings.metallic_particle_size_mm, coated=settings.external_conformal_coating
     )
 
 
@@ -69,10 +75,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     threshold = settings.threshold_mm if args.threshold_mm is None else args.threshold_mm
     try:
         if os.path.isfile(os.path.join(args.board, "matrix", "matrix")):
-            features = board_archive.read_folder(spark, args.board)[1]
+            layers, features = board_archive.read_folder(spark, args.board)
         else:
-            features = board_archive.read_boards(spark, args.board)
-        measured = measure(features, settings, args.within_mm).persist()
+            layers, features = board_archive.read_boards(spark, args.board, "layers"), board_archive.read_boards(spark, args.board)
+        measured = measure(features, layers, settings, args.within_mm).persist()
         if not features.filter("layer is not null").limit(1).count():
             raise board_archive.ArchiveError("no features")
     except (board_archive.ArchiveError, OSError, AnalysisException) as error:

@@ -32,6 +32,14 @@ def layer_role(name: Column, index: Column, total: Column) -> Column:
     )
 
 
+def stack_place(name: Column) -> Column:
+    """Orders layers by name where no stack-up is known: front, then inner ones by number, then back."""
+    lower = F.lower(F.trim(name))
+    side = F.when(lower.rlike(r"^(f[._]cu$|top|front|component)"), 0).when(lower.rlike(r"^(b[._]cu$|bot|back|solder)"), 2).otherwise(1)
+    number = F.regexp_extract(lower, r"\d+", 0).try_cast("int")
+    return F.struct(side.alias("side"), number.alias("number"), lower.alias("name"))
+
+
 def normal_role(role: Column) -> Column:
     """internal, or external for everything else, null included."""
     return F.when(F.lower(F.trim(role)).isin(*INTERNAL_ROLES), "internal").otherwise("external")

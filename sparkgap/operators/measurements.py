@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.estimators import effective_voltage, ipc_voltage, layer_pollution, without_particle
-from ..functions.layers import layer_key, layer_role
+from ..functions.layers import layer_key, layer_role, stack_place
 from ..tables import settle
 
+BROADCAST_LAYERS = 50_000
+
 
 def critical_pairs(measurements: DataFrame, threshold_mm: float) -> DataFrame:
     """Pairs strictly below the threshold; null and NaN clearances are none."""
@@ -44,20 +46,34 @@ def per_net_minimum(measurements: DataFrame, scope: Sequence[str] = ()) -> DataF
     )
 
 
-def layer_roles(layers: DataFrame, scope: str, layer: str, ordinal: str) -> DataFrame:
+def layer_roles(layers: DataFrame, scope: str, layer: str, ordinal: str | Column) -> DataFrame:
     """Adds layer_role to a table of layers, guessed from the name and the place within `scope`."""
     order = Window.partitionBy(scope).orderBy(ordinal)
     placed = layers.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(scope)))
     return placed.withColumn("layer_role", layer_role(F.col(layer), F.col("__i"), F.col("__n"))).drop("__i", "__n")
 
 
-def recomputed_voltages(measurements: DataFrame, *, cti: float = 175.0, pollution: int = 2, altitude_m: float = 5500.0, particle_mm: float = 0.0, coated: bool = False) -> DataFrame:
+def measured_layer_roles(measurements: DataFrame) -> DataFrame:
+    """(job_id, layer, layer_role) of every measured layer, ordered by `stack_place` as no stack-up is at hand."""
+    layers = measurements.select("job_id", layer_key(F.col("layer")).alias("layer")).distinct()
+    return layer_roles(layers, "job_id", "layer", stack_place(F.col("layer")))
+
+
+def recomputed_voltages(measurements: DataFrame, *, roles: DataFrame | None = None, cti: float = 175.0, pollution: int = 2, altitude_m: float = 5500.0, particle_mm: float = 0.0, coated: bool = False) -> DataFrame:
     """`measurements` with both voltages computed anew under other settings; distances are reused.
 
-    The role comes from the layer's name alone (tables of measurements don't hold
-    the stack-up): names that say nothing count as external.
+    `roles` holds job_id, layer (as layer_key spells it) and layer_role, each
+    layer once; layers not in it count as external. Without `roles` the role comes
+    from the layer's name alone, and names that say nothing count as external.
     """
-    placed = settle(measurements, layer_role=layer_role(layer_key(F.col("layer")), F.lit(0), F.lit(1)))
+    if roles is None:
+        placed = settle(measurements, layer_role=layer_role(layer_key(F.col("layer")), F.lit(0), F.lit(1)))
+    else:
+        known = roles.select(F.col("job_id").alias("__job"), F.col("layer").alias("__layer"), F.col("layer_role").alias("__role"))
+        if known.limit(BROADCAST_LAYERS + 1).count() <= BROADCAST_LAYERS:
+            known = F.broadcast(known)
+        joined = measurements.join(known, (F.col("job_id") == F.col("__job")) & (layer_key(F.col("layer")) == F.col("__layer")), "left")
+        placed = settle(joined, layer_role=F.coalesce("__role", F.lit("external"))).drop("__job", "__layer", "__role")
     role = F.col("layer_role")
     reduced = F.when(F.col("clearance_mm") >= 0, without_particle(F.col("clearance_mm"), role, particle_mm))
     ready = settle(placed, __degree=layer_pollution(role, F.lit(coated), pollution), __reduced=reduced)

@@ -94,6 +94,24 @@ def voltage_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("measurement_id", F.round("effective_max_voltage_v", 6).alias("effective_v"), F.round("ipc2221a_max_voltage_v", 6).alias("ipc_v"))
 
 
+def _by_role(internal: str, external: str) -> str:
+    usable = "clearance_mm >= 0 AND NOT isnan(clearance_mm)"
+    return f"CASE WHEN {usable} AND layer_role = 'internal' THEN round({internal}, 6) WHEN {usable} THEN round({external}, 6) END"
+
+
+@query(f"""WITH layers AS (SELECT DISTINCT job_id, upper(trim(layer)) AS layer FROM measurements),
+placed AS (SELECT job_id, layer, row_number() OVER (PARTITION BY job_id ORDER BY CASE layer WHEN 'F.CU' THEN 0 WHEN 'B.CU' THEN 2 ELSE 1 END, TRY_CAST(regexp_extract(layer, '[0-9]+') AS INTEGER), layer) - 1 AS i,
+  count(*) OVER (PARTITION BY job_id) AS n FROM layers),
+roles AS (SELECT job_id, layer, CASE WHEN layer IN ('F.CU', 'B.CU') OR n <= 2 OR i = 0 OR i = n - 1 THEN 'external' ELSE 'internal' END AS layer_role FROM placed),
+m AS (SELECT measurement_id, clearance_mm, greatest(0.0, clearance_mm - 0.05) AS d, layer_role FROM measurements JOIN roles ON measurements.job_id = roles.job_id AND upper(trim(measurements.layer)) = roles.layer)
+SELECT measurement_id, layer_role, {_by_role(sql.effective("clearance_mm", "0.7 * 0.55", sql.altitude("1000.0")), sql.effective("d", "0.7 * 1.65", sql.altitude("1000.0")))} AS effective_v,
+  {_by_role(sql.ipc("clearance_mm", 1), sql.ipc("clearance_mm", 2))} AS ipc_v FROM m""")
+def voltage_recompute_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _measurements(spark, sf_dir)
+    new = mea.recomputed_voltages(m, roles=mea.measured_layer_roles(m), cti=600, pollution=3, altitude_m=1000.0, particle_mm=0.05)
+    return new.select("measurement_id", "layer_role", F.round("effective_max_voltage_v", 6).alias("effective_v"), F.round("ipc2221a_max_voltage_v", 6).alias("ipc_v"))
+
+
 # ---------------------------------------------------------------- measurements
 
 
