@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("board", help="folder of board archives, or an unpacked board")
     p.add_argument("--output", default="reports")
     p.add_argument("--profile", help="settings profile to start from")
-    p.add_argument("--within-mm", type=float, default=5.0, help="pairs beyond this distance are not measured")
+    p.add_argument("--within-mm", type=float, help="measure only pairs below this distance (default: every pair of nets of a layer)")
     p.add_argument("--threshold-mm", type=float)
     p.add_argument("--rules", help="folder of a rule pack instead of the built-in one")
     p.add_argument("--local-rules", help="folder of a project's own rules")
@@ -48,12 +48,12 @@ def stack_roles(layers: DataFrame) -> DataFrame:
     return mea.layer_roles(stack, "job_id", "layer", "ordinal")
 
 
-def measure(features: DataFrame, layers: DataFrame, settings: Settings, within_mm: float) -> DataFrame:
-    """Measured pairs of boards with both voltages."""
+def measure(features: DataFrame, layers: DataFrame, settings: Settings, within_mm: float | None) -> DataFrame:
+    """Measured pairs of boards with both voltages; without `within_mm` every pair of nets of a layer."""
     placed = with_shapes(features.withColumn("layer", layer_key(F.col("layer"))))
     if settings.layers:
         placed = placed.filter(F.col("layer").isin(*[name.strip().upper() for name in settings.layers]))
-    pairs = composited_pairs(placed, within_mm, ["job_id", "layer"])
+    pairs = composited_pairs(placed, within_mm, ["job_id", "layer"], include_no_net=settings.include_none_net)
     return mea.recomputed_voltages(
         pairs, roles=stack_roles(layers), cti=settings.cti, pollution=settings.pollution_degree, altitude_m=settings.altitude_m, particle_mm=settings.metallic_particle_size_mm, coated=settings.external_conformal_coating
     )

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 RESOLUTION = 16
 SIDE_MM = 1e-6  # how far off an edge its sides are looked at
+BLOCK_EDGES, BLOCK_NETS = 20_000, 300  # of a layer, that meet another such block in one task
+LEAF_PAIRS = 4096
 POLYGON = "struct<idx:int,positive:boolean,rings:array<struct<hole:boolean,xs:array<double>,ys:array<double>>>>"
 
 
@@ -144,6 +146,51 @@ def surviving_edges(polygons: Sequence[Polygon]) -> np.ndarray:
     return edges[(edges[:, 0] != edges[:, 2]) | (edges[:, 1] != edges[:, 3])]
 
 
+def _point_gaps(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> float:
+    """Least distance of points from edges."""
+    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+    px, py = x[:, None] - e[:, 0], y[:, None] - e[:, 1]
+    square = dx * dx + dy * dy
+    t = np.clip((px * dx + py * dy) / np.where(square > 0, square, 1.0), 0.0, 1.0)
+    return float(np.sqrt(((px - t * dx) ** 2 + (py - t * dy) ** 2).min()))
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether any edge of one crosses one of the other."""
+    side = lambda e, x, y: (e[:, 2] - e[:, 0])[:, None] * (y - e[:, 1][:, None]) - (e[:, 3] - e[:, 1])[:, None] * (x - e[:, 0][:, None])
+    apart = side(a, b[:, 0], b[:, 1]) * side(a, b[:, 2], b[:, 3]) < 0
+    return bool(apart.any() and (apart & (side(b, a[:, 0], a[:, 1]) * side(b, a[:, 2], a[:, 3]) < 0).T).any())
+
+
+def _edges_box(e: np.ndarray) -> tuple[float, float, float, float]:
+    return e[:, 0::2].min(), e[:, 1::2].min(), e[:, 0::2].max(), e[:, 1::2].max()
+
+
+def edge_gap(a: np.ndarray, b: np.ndarray, best: float = np.inf) -> float:
+    """Least distance of two sets of edges (x1, y1, x2, y2), 0 where they cross, or `best` if that is less.
+
+    Halves the larger set until few are left, the nearer half first; what lies
+    further apart by its bounds than the best so far is left out.
+    """
+    p, q = _edges_box(a), _edges_box(b)
+    if np.hypot(max(p[0] - q[2], q[0] - p[2], 0.0), max(p[1] - q[3], q[1] - p[3], 0.0)) >= best:
+        return best
+    if len(a) * len(b) <= LEAF_PAIRS:
+        if _cross(a, b):
+            return 0.0
+        return min(best, *[_point_gaps(e[:, k], e[:, k + 1], o) for e, o in ((a, b), (b, a)) for k in (0, 2)])
+    if len(a) < len(b):
+        a, b, p, q = b, a, q, p
+    axis = 0 if p[2] - p[0] >= p[3] - p[1] else 1
+    order = np.argsort(a[:, axis] + a[:, axis + 2], kind="stable")
+    halves = [a[order[: len(a) // 2]], a[order[len(a) // 2 :]]]
+    if q[axis] + q[axis + 2] > p[axis] + p[axis + 2]:
+        halves.reverse()
+    for half in halves:
+        best = edge_gap(half, b, best)
+    return best
+
+
 # ---------------------------------------------------------------- DataFrames
 
 
@@ -244,18 +291,50 @@ def enclosed_nets(nets: DataFrame, edges: DataFrame, scope: Sequence[str]) -> Da
     return work.mapInPandas(judged, f"{types}, net_a string, net_b string").distinct()
 
 
-def composited_pairs(features: DataFrame, threshold_mm: float, scope: Sequence[str]) -> DataFrame:
+def all_edge_pairs(edges: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, net_a, net_b, clearance_mm) of every pair of nets of a scope, by the distance of their edges.
+
+    The nets of a scope are dealt into blocks, and each pair of blocks is a group,
+    so a task holds two blocks' edges (more only for a net that has more itself).
+    """
+    s = list(scope)
+    e = F.col("shape")
+    ends = F.array(e["cx"] - e["hx"] * e["c"], e["cy"] - e["hx"] * e["s"], e["cx"] + e["hx"] * e["c"], e["cy"] + e["hx"] * e["s"])
+    nets = edges.groupBy(*s, F.col("net_name").alias("net")).agg(F.flatten(F.collect_list(ends)).alias("ends"))
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK_EDGES, F.count_distinct("net_name") / BLOCK_NETS)).cast("int")
+    dealt = nets.join(edges.groupBy(*s).agg(n_blocks.alias("blocks")), s).withColumn("own", F.pmod(F.xxhash64("net"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(*s, "net", "ends", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.select(*s).schema)
+
+    def measured(block: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r.net, r.own, np.asarray(r.ends, float).reshape(-1, 4)) for r in block.itertuples()]
+        same = block["low"].iloc[0] == block["high"].iloc[0]
+        out = []
+        for k, (net, own, a) in enumerate(rows):
+            for guest, place, b in rows[k + 1 :]:
+                if same or own != place:
+                    out.append((*sorted((net, guest)), edge_gap(a, b)))
+        frame = pd.DataFrame(out, columns=["net_a", "net_b", "clearance_mm"])
+        for k, c in enumerate(s):
+            frame.insert(k, c, block[c].iloc[0])
+        return frame
+
+    return met.groupBy(*s, "low", "high").applyInPandas(measured, f"{types}, net_a string, net_b string, clearance_mm double")
+
+
+def composited_pairs(features: DataFrame, threshold_mm: float | None, scope: Sequence[str], *, include_no_net: bool = False) -> DataFrame:
     """(scope, net_a, net_b, clearance_mm) below the threshold between nets as drawn in order, cuts included.
 
-    Features need a `shape` (or rings), feature_index, polarity and net_name.
-    Curves are chains of chords, so distances may exceed the exact ones by up to
-    0.0012 of the radii.
+    Without a threshold every pair of nets of a scope. Features need a `shape` (or
+    rings), feature_index, polarity and net_name. Curves are chains of chords, so
+    distances may exceed the exact ones by up to 0.0012 of the radii.
     """
     from ..operators.spacing import close_net_pairs
     from ..session import cut_lineage
 
-    nets = cut_lineage(net_polygons(features, scope))
+    nets = cut_lineage(net_polygons(features, scope, include_no_net=include_no_net))
     edges = cut_lineage(net_edges(nets, scope))
-    near = close_net_pairs(edges, threshold_mm, scope, cell_mm=max(2.0, threshold_mm))
+    near = all_edge_pairs(edges, scope) if threshold_mm is None else close_net_pairs(edges, threshold_mm, scope, cell_mm=max(2.0, threshold_mm))
     inside = enclosed_nets(nets, edges, scope).withColumn("clearance_mm", F.lit(0.0))
     return near.unionByName(inside).groupBy(*scope, "net_a", "net_b").agg(F.min("clearance_mm").alias("clearance_mm"))
