@@ -233,6 +233,23 @@ def round_pad_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("job_id", "layer", *[F.round(c, 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
 
 
+_NUMBER = "([0-9]*[.]?[0-9]+)"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT ON (feature_id) *, lower(trim(symbol_name)) AS sym, upper(trim(kind)) AS k FROM features),
+n AS (SELECT *, TRY_CAST(regexp_extract(sym, '^r{_NUMBER}$', 1) AS DOUBLE) / 1000 AS disc, nullif(regexp_extract(sym, '^(rect|oval){_NUMBER}x{_NUMBER}(xr{_NUMBER})?$', 1), '') AS box,
+  TRY_CAST(regexp_extract(sym, '^(rect|oval){_NUMBER}x{_NUMBER}(xr{_NUMBER})?$', 2) AS DOUBLE) / 1000 AS bw, TRY_CAST(regexp_extract(sym, '^(rect|oval){_NUMBER}x{_NUMBER}(xr{_NUMBER})?$', 3) AS DOUBLE) / 1000 AS bh,
+  TRY_CAST(regexp_extract(sym, '^(rect|oval){_NUMBER}x{_NUMBER}(xr{_NUMBER})?$', 5) AS DOUBLE) / 1000 AS corner FROM f WHERE isfinite(x) AND isfinite(y)),
+w AS (SELECT *, coalesce(disc, bw, 0.001) AS w, coalesce(disc, bh, 0.001) AS h FROM n),
+r AS (SELECT *, CASE WHEN box = 'rect' THEN least(coalesce(corner, 0.0), w / 2, h / 2) ELSE least(w, h) / 2 END AS r, radians(coalesce(rotation_deg, 0.0)) AS t FROM w),
+e AS (SELECT job_id, layer, x, y, abs((w / 2 - r) * cos(t)) + abs((h / 2 - r) * sin(t)) + r AS ex, abs((w / 2 - r) * sin(t)) + abs((h / 2 - r) * cos(t)) + r AS ey FROM r WHERE k = 'P'
+  UNION ALL SELECT job_id, layer, (x + x2) / 2, (y + y2) / 2, abs(x2 - x) / 2 + least(w, h) / 2, abs(y2 - y) / 2 + least(w, h) / 2 FROM r WHERE k = 'L' AND isfinite(x2) AND isfinite(y2))
+SELECT job_id, upper(trim(layer)) AS layer, round(min(x - ex), 6) AS min_x, round(min(y - ey), 6) AS min_y, round(max(x + ex), 6) AS max_x, round(max(y + ey), 6) AS max_y FROM e GROUP BY ALL""")
+def board_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = spc.board_bounds(_board_shapes(spark, sf_dir), ["job_id", "layer"])
+    return boxes.select("job_id", "layer", *[F.round(c, 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
 @query("""WITH firsts AS (SELECT n_regionkey, min(n_nationkey) AS k FROM nation GROUP BY 1),
 drills AS (SELECT s_suppkey AS drill, n.n_regionkey, n.n_nationkey AS own, f.k AS first FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey JOIN firsts f ON f.n_regionkey = n.n_regionkey)
 SELECT d.n_regionkey, d.drill, n.n_name AS layer, n.n_nationkey AS ordinal FROM drills d JOIN nation n ON n.n_regionkey = d.n_regionkey AND n.n_nationkey BETWEEN least(d.own, d.first) AND greatest(d.own, d.first)""")
