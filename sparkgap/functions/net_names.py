@@ -32,6 +32,12 @@ def _compatible(names: pd.Series) -> pd.Series:
     return names.map(of)
 
 
+@F.pandas_udf(StringType())
+def _nfkc(names: pd.Series) -> pd.Series:
+    """NFKC alone."""
+    return names.map(lambda name: None if name is None else unicodedata.normalize("NFKC", name))
+
+
 def has_plain_ascii(name: Column) -> Column:
     return name.rlike(r"^[\x20-\x7E]*$")
 
@@ -74,8 +80,13 @@ HV_TOKEN = r"(?<![A-Z0-9])HV(\d{2,4})(?![A-Z0-9])"
 
 
 def name_voltage(name: Column) -> Column:
-    """The voltage in volts that a net name states, else null. `-`, `M` and `N` make it negative."""
-    text = F.translate(F.upper(name), ". /", "___")
+    """The voltage in volts that a net name states, else null. `-`, `M` and `N` make it negative.
+
+    Full-width and other compatible spellings count as what they stand for;
+    control and format characters stay and so part a token.
+    """
+    plain = has_plain_ascii(name)
+    text = F.translate(F.upper(F.when(plain, name).otherwise(_nfkc(F.when(~plain, name)))), ". /", "___")
     sign, whole, rest = (F.regexp_extract(text, VOLTAGE_TOKEN, k) for k in (1, 2, 3))
     volts = F.concat(whole, F.lit("."), F.when(rest == "", "0").otherwise(rest)).try_cast("double")
     high = F.regexp_extract(text, HV_TOKEN, 1)

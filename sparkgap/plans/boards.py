@@ -17,7 +17,7 @@ from ..operators import rules as rul
 from ..operators import spacing as spc
 from ..operators.reject_rows import load_delimited
 from ..operators.revision_match import match_revisions
-from ..tables import table
+from ..tables import settle, table
 from . import sql
 from .found import ASSIGNMENT_RULES
 
@@ -340,6 +340,32 @@ def rule_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rul.self_test(spark).groupBy("passed").agg(F.count("*").cast("int").alias("n_cases"))
 
 
+def _every_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_net_union(spark, sf_dir)
+
+
+@query()
+def net_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal = normal_name(F.col("net_name"))
+    return settle(_every_name(spark, sf_dir), normal=normal).select("net_name", "normal", F.size(name_tokens(F.col("normal"))).cast("long").alias("n_tokens"))
+
+
+@query()
+def voltage_token_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_name(spark, sf_dir).select("net_name", name_voltage(F.col("net_name")).alias("volts"))
+
+
+@query()
+def rule_classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rul.classify_names(_every_name(spark, sf_dir), rul.builtin_pack()).select("net_name", "matched_rule_id", "confidence", "severity")
+
+
+@query()
+def rule_all_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rul.classify_names(_every_name(spark, sf_dir), rul.builtin_pack()).filter(F.size("all_matched_rule_ids") > 0)
+    return got.select("net_name", F.array_join("all_matched_rule_ids", ";").alias("rule_ids"), F.size("all_matched_rule_ids").cast("long").alias("n_rules"))
+
+
 # ---------------------------------------------------------------- requirements
 
 
