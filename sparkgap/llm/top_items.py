@@ -1,15 +1,15 @@
 """The N best items of each of very many groups, by a threshold from score histograms.
 
 A histogram per group (logarithmic bins, counted with map-side combine) gives the
-highest bin that is needed to have at least N items at or below it. Rows beyond
-that bin cannot be among the N best and are dropped before the exact ranking, so
-a group of any size sends little more than N rows to its ranking task. Only
-groups of more than `small` rows are counted into histograms.
+bin up to which at least N items lie; where that bin alone holds many rows, its
+own rows are counted once more into finer bins. Rows beyond the threshold cannot
+be among the N best and are dropped before the exact ranking, so a group of any
+size sends little more than N rows to its ranking task. Groups too small to lose
+rows that way (`WORTHWHILE` times N) are ranked whole.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +17,25 @@ from ..session import cut_lineage
 
 BROADCAST_GROUPS = 50_000  # a row of keys and a bin each: a few MB
 SALTS = 32
-BINS_PER_DOUBLING = 8
-LOWEST, HIGHEST = -400, 400
+WORTHWHILE = 8  # a group of fewer than so many times N rows has no histogram
+CROWDED = 64  # a bin at the threshold with more than so many times N rows is refined
+BINS, FINER = 3, 10  # bits: 8 bins a doubling, 1,024 finer ones in each
+LOWEST, HIGHEST = -1075 << (BINS + FINER), 1025 << (BINS + FINER)
 
 
-def score_bin(score: Column) -> Column:
-    """The bin of a score, lower is better: monotone in the score, at most 1,602 values.
+def score_place(score: Column) -> Column:
+    """A whole number that never falls as the score rises, over all doubles but NaN.
 
-    Zero and less share the first bin, which is correct as bins only have to be
-    monotone; beyond the range of the logarithm the end bins take all.
+    Beyond the sign it is the logarithm in finer bins; 0 and -0 are the same.
     """
-    log = F.floor(F.log2(score) * BINS_PER_DOUBLING)
-    return F.when(score <= 0, F.lit(LOWEST - 1)).otherwise(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), log))).cast("int")
+    log = F.floor(F.greatest(F.lit(float(LOWEST)), F.least(F.lit(float(HIGHEST)), F.log2(F.abs(score)) * (1 << (BINS + FINER)))))
+    size = (log - LOWEST + 1).cast("bigint")
+    return F.when(score == 0, F.lit(0).cast("bigint")).when(score > 0, size).otherwise(-size)
+
+
+def score_bin(score: Column) -> Column:
+    """The bin of a score: its place without the finer bits."""
+    return F.shiftright(score_place(score), FINER)
 
 
 def _joined(rows: DataFrame, few: DataFrame, keys: list[str], n_few: int, how: str, spread: list[str]) -> DataFrame:
@@ -48,33 +55,47 @@ def _joined(rows: DataFrame, few: DataFrame, keys: list[str], n_few: int, how: s
     return rows.join(few, [*match, F.col("__salt") == F.col("__s")], how).drop(*inner, "__salt", "__s")
 
 
-def group_thresholds(binned: DataFrame, keys: list[str], n: int, small: int, spread: list[str]) -> tuple[DataFrame, int]:
-    """(keys, __limit) and its number of rows: the lowest bin by which a group of more than `small` rows has `n`."""
-    large = cut_lineage(binned.groupBy(*keys).agg(F.count("*").alias("__all")).filter(F.col("__all") > small).select(*keys))
+def _running(counts: DataFrame, keys: list[str], bin_: str) -> DataFrame:
+    """`counts` with __upto: how many rows of the group lie in this bin or before."""
+    return counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def group_thresholds(placed: DataFrame, keys: list[str], n: int, small: int, spread: list[str]) -> tuple[DataFrame, int]:
+    """(keys, __limit) and its number of rows: the place up to which a group of more than `small` rows has at least `n`.
+
+    One row per such group, written to the checkpoint folder.
+    """
+    large = cut_lineage(placed.groupBy(*keys).agg(F.count("*").alias("__all")).filter(F.col("__all") > small).select(*keys))
     n_large = large.count()
-    counts = _joined(binned, large, keys, n_large, "inner", spread).groupBy(*keys, "__bin").agg(F.count("*").alias("__c"))
-    running = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.withColumn("__upto", F.sum("__c").over(running))
-    return summed.filter(F.col("__upto") >= n).groupBy(*keys).agg(F.min("__bin").alias("__limit")), n_large
+    bin_ = F.shiftright("__place", FINER)
+    counts = _joined(placed, large, keys, n_large, "inner", spread).groupBy(*keys, bin_.alias("__bin")).agg(F.count("*").alias("__c"))
+    reached = _running(counts, keys, "__bin").filter(F.col("__upto") >= n)
+    edge = cut_lineage(reached.groupBy(*keys).agg(F.min_by(F.struct("__bin", "__c", (F.col("__upto") - F.col("__c")).alias("before")), "__bin").alias("e")).select(*keys, "e.*"))
+    crowded = edge.filter(F.col("__c") > CROWDED * n)
+    whole = edge.filter(F.col("__c") <= CROWDED * n).select(*keys, (F.shiftleft(F.col("__bin") + 1, FINER) - 1).alias("__limit"))
+    at_edge = _joined(placed, crowded.select(*keys, "__bin", "before"), keys, crowded.count(), "inner", spread).filter(bin_ == F.col("__bin"))
+    finer = at_edge.groupBy(*keys, "__place").agg(F.count("*").alias("__c"), F.min("before").alias("before"))
+    refined = _running(finer, keys, "__place").filter(F.col("before") + F.col("__upto") >= n).groupBy(*keys).agg(F.min("__place").alias("__limit"))
+    return cut_lineage(whole.unionByName(refined)), n_large
 
 
-def top_items(rows: DataFrame, keys: list[str], score: str, ties: list[str], n: int, *, small: int = 1000) -> DataFrame:
-    """The `n` rows of lowest `score` in each group, with `pos` from 1; ties in the order of `ties`.
+def top_items(rows: DataFrame, keys: list[str], score: str, ties: list[str], n: int, *, largest: bool = False, small: int | None = None) -> DataFrame:
+    """The `n` rows of lowest (or `largest`) `score` in each group, with `pos` from 1; ties in the order of `ties`.
 
     Null and NaN scores don't count. Null keys form groups of their own. Nulls in
     tie columns come last; rows equal in everything named are taken in any order,
     as they are alike. Repeated rows count as often as they occur. `rows` is read
-    several times, so it should be kept. Groups up to `small` rows (at least `n`)
-    are ranked whole: their rows are cut to `n` before the shuffle by the engine.
+    several times, so it should be kept. Groups of up to `small` rows (by default
+    `WORTHWHILE` times `n`) are ranked whole. A column named like an inner one
+    (`__place`, `__limit`) or `pos` is replaced.
     """
-    small = max(small, n)
-    binned = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("__bin", score_bin(F.col(score)))
-    limits, n_large = group_thresholds(binned, keys, n, small, [score, *ties])
-    survivors = binned
-    if n_large:
-        survivors = _joined(binned, limits, keys, n_large, "left", [score, *ties]).filter(F.col("__limit").isNull() | (F.col("__bin") <= F.col("__limit"))).drop("__limit")
-    order = Window.partitionBy(*keys).orderBy(F.col(score).asc(), *[F.col(t).asc_nulls_last() for t in ties])
-    return survivors.drop("__bin").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+    small = WORTHWHILE * n if small is None else max(small, n)
+    place = score_place(F.col(score))
+    placed = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("__place", -place if largest else place)
+    limits, n_large = group_thresholds(placed, keys, n, small, [score, *ties])
+    survivors = _joined(placed, limits, keys, n_large, "left", [score, *ties]).filter(F.col("__limit").isNull() | (F.col("__place") <= F.col("__limit")))
+    order = Window.partitionBy(*keys).orderBy(F.col(score).desc() if largest else F.col(score).asc(), *[F.col(t).asc_nulls_last() for t in ties])
+    return survivors.drop("__place", "__limit").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
 
 
 def latest_deliveries(rows: DataFrame, row_id: str, loaded_at: str, ties: list[str]) -> DataFrame:
@@ -96,5 +117,4 @@ def closest_measurements(measurements: DataFrame, n: int = 3) -> DataFrame:
     used = measurements.select("measurement_id", "job_id", F.upper(F.trim("layer")).alias("layer"), "net_a", "net_b", "clearance_mm", "loaded_at")
     last = latest_deliveries(used, "measurement_id", "loaded_at", ["clearance_mm", "net_b", "job_id", "layer", "net_a"]).drop("loaded_at")
     valid = last.filter(F.col("clearance_mm").isNotNull() & ~F.isnan("clearance_mm") & (F.col("clearance_mm") >= 0))
-    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
-    return top_items(valid, ["job_id", "layer", "net_a"], "clearance_mm", ["net_b", "measurement_id"], n)
+    return top_items(cut_lineage(valid), ["job_id", "layer", "net_a"], "clearance_mm", ["net_b", "measurement_id"], n)

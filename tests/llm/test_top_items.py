@@ -52,3 +52,23 @@ def test_last_delivery_counts(spark):
     out = ti.closest_measurements(df, 4)
     assert sorted((r.pos, r.measurement_id) for r in out.collect()) == [(1, 3), (2, 2), (3, 6), (4, None)]
     assert ti.closest_measurements(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("largest", [False, True])
+def test_crowded_bins_negative_scores_and_either_end(spark, monkeypatch, largest):
+    monkeypatch.setattr(ti, "CROWDED", 2)
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot", "hot", "a", None]), 1, rnd.choice([-5.0 - rnd.random() / 100, -5.0, 4.0 + rnd.random() / 1000, 0.0]), "x", i, 7) for i in range(3000)]
+    out = ti.top_items(spark.createDataFrame(rows, SCHEMA), ["k", "j"], "score", ["id"], 4, largest=largest)
+    turned = [(k, j, -s if largest else s, None, i, p) for k, j, s, _, i, p in rows]
+    assert sorted(((r.k, r.j, r.id, r.pos) for r in out.collect()), key=repr) == brute(turned, 4)
+
+
+def test_thresholds_leave_little_more_than_n(spark):
+    rnd = random.Random(11)
+    rows = [("hot", -1000.0 + rnd.random() * 10, i) for i in range(20000)] + [("cold", float(i), i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, score double, id bigint").withColumn("__place", ti.score_place(ti.F.col("score")))
+    limits, n_large = ti.group_thresholds(df, ["k"], 3, 24, ["score", "id"])
+    (limit,) = limits.collect()
+    kept = df.filter((ti.F.col("k") == "hot") & (ti.F.col("__place") <= limit["__limit"])).count()
+    assert n_large == 1 and limit.k == "hot" and 3 <= kept < 400
