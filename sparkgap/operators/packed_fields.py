@@ -71,9 +71,11 @@ def explode_packed(rows: DataFrame, row_id: str, field: str, source: str) -> Dat
     """(src, row_id, pos, item) of every item of `field`; positions start at 1 in each field.
 
     Redelivered rows are dropped before the split; equal items at different
-    positions stay. Null ids stay. One shuffle, by row id.
+    positions stay. Null ids stay. One shuffle, by row id (null ids by their field).
     """
     once = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(field).alias("__field")).filter(F.trim(F.col("__field")) != "")
-    once = once.repartition("row_id").dropDuplicates(["row_id", "__field"])
-    items = once.select(F.lit(source).alias("src"), "row_id", F.posexplode(packed_items(F.col("__field"))).alias("pos", "item"))
-    return items.select("src", "row_id", (F.col("pos") + 1).alias("pos"), "item").dropDuplicates(["row_id", "pos", "item", "src"])
+    once = once.withColumn("__spread", F.when(F.col("row_id").isNull(), F.xxhash64("__field")))
+    once = once.repartition("row_id", "__spread").dropDuplicates(["row_id", "__spread", "__field"])
+    items = once.select(F.lit(source).alias("src"), "row_id", "__spread", F.posexplode(packed_items(F.col("__field"))).alias("pos", "item"))
+    once = items.select("src", "row_id", (F.col("pos") + 1).alias("pos"), "item", "__spread").dropDuplicates(["row_id", "pos", "item", "src", "__spread"])
+    return once.drop("__spread")

@@ -15,9 +15,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from ..tables import join_few
+
 # Nanometres in a unit, and how units are written (lower case).
 UNIT_NM = {"mm": 1_000_000, "cm": 10_000_000, "um": 1_000, "nm": 1, "mil": 25_400, "inch": 25_400_000}
 UNIT_WORDS = {
@@ -112,7 +115,8 @@ def with_common_unit(rows: DataFrame, *, number: str = "number", unit: str = "un
     share one unknown unit within (null: the row stands alone). Rows without a
     number keep nulls. Zero has no logarithm: its unit stays null, its value is 0.
     Rows are never dropped or repeated, repeated rows each get the same answer.
-    Broadcast: nothing. To the driver: one histogram of at most 2 x 6,000 bins.
+    `rows` is read twice, so it should be kept. Groups with unknown units are
+    joined by `join_few`. To the driver: one histogram of at most 2 x 6,000 bins.
     """
     value = F.col(number).cast("double")
     nm = F.coalesce(*[F.when(F.col(unit) == u, F.lit(f)) for u, f in UNIT_NM.items()])
@@ -133,7 +137,7 @@ def with_common_unit(rows: DataFrame, *, number: str = "number", unit: str = "un
         open_rows = given.filter(F.col(unit).isNull() & log_value.isNotNull())
         own = {u: model.log_density(log_value, u) for u in candidates}
         pooled = open_rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("__g")).agg(*[F.sum(d).alias(f"__{u}") for u, d in own.items()])
-        joined = given.join(pooled, (F.col(group) == F.col("__g")) & F.col(unit).isNull(), "left")
+        joined = join_few(given, cut_lineage(pooled), {group: "__g"})
         score = {u: F.coalesce(F.col(f"__{u}"), own[u]) + math.log(model.weights[u]) for u in candidates}
         best = F.greatest(*score.values())
         total = sum((F.exp(s - best) for s in score.values()), F.lit(0.0))
@@ -143,12 +147,27 @@ def with_common_unit(rows: DataFrame, *, number: str = "number", unit: str = "un
             joined.withColumn("unit_probability", F.when(F.col(unit).isNotNull(), 1.0).when(openly, 1.0 / total))
             .withColumn("unit_source", F.when(openly, "mixture").otherwise(F.col("unit_source")))
             .withColumn(unit, F.when(openly, guess).otherwise(F.col(unit)))
-            .drop("__g", *[f"__{u}" for u in candidates])
+            .drop(*[f"__{u}" for u in candidates])
         )
     exact = F.coalesce(*[F.when(F.col(unit) == u, F.round(F.col(number) * F.lit(f).cast("decimal(12,0)"), 0)) for u, f in UNIT_NM.items()])
     return done.withColumn("unit_uncertain", F.col("unit_probability") < sure).withColumn("value_nm", F.coalesce(exact, F.when(value == 0, F.lit(0))).cast("long"))
 
 
+def read_sizes(symbols: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each symbol's last delivery with its number, the unit its name states and the one its job implies.
+
+    One row per symbol_id, ties by raw_name and width_mm; null symbol_ids stay
+    rows of their own. Written once to the checkpoint folder.
+    """
+    latest = Window.partitionBy("symbol_id").orderBy(F.col("loaded_at").desc_nulls_last(), F.col("raw_name").asc_nulls_last(), F.col("width_mm").asc_nulls_last())
+    columns = ["symbol_id", "job_id", "layer", "raw_name", "width_mm", "loaded_at"]
+    read = symbols.select(*columns, size_number(F.col("raw_name")).alias("number"), written_unit(F.col("raw_name")).alias("written_unit"))
+    one = read.filter("symbol_id is not null").withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n", "loaded_at")
+    rest = read.filter("symbol_id is null").drop("loaded_at")
+    per_job = jobs.filter("job_id is not null").groupBy("job_id").agg(F.max(job_unit(F.col("units"))).alias("job_unit"))
+    return cut_lineage(join_few(one.unionByName(rest), per_job, ["job_id"], spread=["symbol_id", "raw_name"]))
+
+
 def symbol_widths(symbols: DataFrame, jobs: DataFrame) -> DataFrame:
     """The width in whole nanometres of each symbol, from its name, its job or the mixture.
 
@@ -156,22 +175,44 @@ def symbol_widths(symbols: DataFrame, jobs: DataFrame) -> DataFrame:
     width_mm. Symbols whose name holds no size have a null width_nm. Null
     symbol_ids stay rows of their own.
     """
-    from pyspark.sql import Window
+    rows = read_sizes(symbols, jobs).withColumn("unit", F.when(F.col("number").isNotNull(), F.coalesce("written_unit", "job_unit")))
+    done = with_common_unit(rows, group="job_id")
+    source = F.when(F.col("unit_source") == "given", F.when(F.col("written_unit").isNotNull(), "name").otherwise("job")).otherwise(F.col("unit_source"))
+    return done.withColumn("unit_source", source).withColumnRenamed("value_nm", "width_nm").drop("written_unit", "job_unit", "number")
 
-    latest = Window.partitionBy("symbol_id").orderBy(F.col("loaded_at").desc_nulls_last(), F.col("raw_name").asc_nulls_last(), F.col("width_mm").asc_nulls_last())
-    columns = ["symbol_id", "job_id", "layer", "raw_name", "width_mm", "loaded_at"]
-    read = symbols.select(*columns, size_number(F.col("raw_name")).alias("number"), written_unit(F.col("raw_name")).alias("__written"))
-    one = read.filter("symbol_id is not null").withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n", "loaded_at")
-    rest = read.filter("symbol_id is null").drop("loaded_at")
-    per_job = jobs.groupBy("job_id").agg(F.max(job_unit(F.col("units"))).alias("__job_unit"))
-    rows = (
-        one.unionByName(rest)
-        .join(per_job, "job_id", "left")
-        .withColumn("unit", F.when(F.col("number").isNotNull(), F.coalesce("__written", "__job_unit")))
+
+FOLDS = 2
+
+
+def held_out_units(symbols: DataFrame, jobs: DataFrame, *, sure: float = 0.95) -> DataFrame:
+    """What the mixture says of every job whose unit is known, with that unit hidden.
+
+    (job_id, n_symbols, given_unit, guessed_unit, unit_probability, unit_uncertain,
+    agrees): each job's bare numbers lose their unit once, in the fold of its hash,
+    while the other folds' jobs and the units written in names keep theirs.
+    Covers every symbol with a bare number and a job that states a unit; jobs
+    whose bare numbers are all 0 don't come out.
+    """
+    rows = read_sizes(symbols, jobs).filter("number is not null").select("symbol_id", "job_id", "number", "written_unit", "job_unit")
+    fold = F.pmod(F.xxhash64("job_id"), F.lit(FOLDS))
+    judged = None
+    for k in range(FOLDS):
+        hidden = F.col("written_unit").isNull() & F.col("job_unit").isNotNull() & (fold == k)
+        asked = rows.withColumn("__hidden", hidden).withColumn("unit", F.when(~hidden, F.coalesce("written_unit", "job_unit")))
+        part = with_common_unit(asked, group="job_id", sure=sure).filter("__hidden and unit_source = 'mixture'")
+        judged = part if judged is None else judged.unionByName(part)
+    per_job = judged.groupBy("job_id").agg(
+        F.count("*").alias("n_symbols"), F.max("job_unit").alias("given_unit"), F.max("unit").alias("guessed_unit"), F.max("unit_probability").alias("unit_probability"), F.max("unit_uncertain").alias("unit_uncertain")
+    )
+    return per_job.withColumn("agrees", F.col("given_unit") == F.col("guessed_unit"))
+
+
+def unit_calibration(held_out: DataFrame) -> DataFrame:
+    """How often the mixture is right where it claims a probability: a row per tenth of it."""
+    tenth = F.least(F.floor(F.col("unit_probability") * 10), F.lit(9)).cast("int")
+    return held_out.groupBy(tenth.alias("tenth")).agg(
+        F.count("*").alias("n_jobs"), F.sum("n_symbols").alias("n_symbols"), F.avg("unit_probability").alias("mean_probability"), F.avg(F.col("agrees").cast("double")).alias("share_right")
     )
-    done = with_common_unit(rows, group="job_id")
-    source = F.when(F.col("unit_source") == "given", F.when(F.col("__written").isNotNull(), "name").otherwise("job")).otherwise(F.col("unit_source"))
-    return done.withColumn("unit_source", source).withColumnRenamed("value_nm", "width_nm").drop("__written", "__job_unit", "number")
 
 
 def wrong_widths(widths: DataFrame, tolerance_nm: float = 1.0) -> DataFrame:

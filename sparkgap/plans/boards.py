@@ -18,8 +18,9 @@ from ..operators import spacing as spc
 from ..operators.reject_rows import load_delimited
 from ..operators.revision_match import match_revisions
 from ..tables import settle, table
+from ..vocabulary import CONFIDENCES, NET_CLASSES, REVIEW_STATES, SEVERITIES
 from . import sql
-from .found import ASSIGNMENT_RULES
+from .found import ASSIGNMENT_RULES, JUDGED_LINES
 
 THRESHOLD_MM = 0.2
 CLOSE_MM = 1.0
@@ -482,7 +483,11 @@ def revision_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_revisions(first, last, rul.builtin_pack(), scope=["project_id"])
 
 
-@query()
+_words = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(f"""{JUDGED_LINES} SELECT line_id, CASE WHEN f[2] NOT IN ({_words(NET_CLASSES)}) THEN 'final_class' WHEN f[6] NOT IN ({_words(CONFIDENCES)}) THEN 'confidence'
+  WHEN f[7] NOT IN ({_words(SEVERITIES)}) THEN 'severity' WHEN f[8] NOT IN ({_words(REVIEW_STATES)}) THEN 'review_state' END AS problem FROM judged WHERE reason IS NULL""")
 def import_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = load_delimited(table(spark, sf_dir, "assignment_lines"), ASSIGNMENT_RULES).filter("reason is null")
     return valid.select("line_id", asg.validity_problem().alias("problem"))

@@ -9,9 +9,10 @@ from ..operators.packed_fields import explode_packed
 from ..operators.reject_rows import RowRules, load_delimited
 from ..operators.schema_drift import consistent_table, schema_changes
 from ..operators.snapshot_changes import snapshot_changes
-from ..operators.unit_values import symbol_widths, wrong_widths
+from ..operators.unit_values import held_out_units, symbol_widths, unit_calibration, wrong_widths
 from ..tables import table
 from ..vocabulary import ASSIGNMENT_COLUMNS, REVIEW_STATES
+from . import found_sql
 
 ASSIGNMENT_RULES = RowRules(
     columns=ASSIGNMENT_COLUMNS,
@@ -43,6 +44,14 @@ def p3_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widths.select("symbol_id", "job_id", "raw_name", "unit", "unit_source", "unit_probability", "unit_uncertain", "width_nm")
 
 
+def p3_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_units(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "jobs"))
+
+
+def p3_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_calibration(p3_held_out(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     attributes = explode_packed(table(spark, sf_dir, "features"), "feature_id", "raw_attributes", "features")
     tags = explode_packed(table(spark, sf_dir, "net_rules"), "rule_no", "tags", "net_rules")
@@ -65,23 +74,21 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_table(rows, schema_changes(rows))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assignments, p3_found, p3_widths, p4_found, p5_found, p6_found, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assignments, p3_found, p3_widths, p3_held_out, p3_calibration, p4_found, p5_found, p6_found, p6_table)}
 
 _STATES = ", ".join(f"'{s}'" for s in REVIEW_STATES)
 _FIELD = '(?:"[^"]*(?:""[^"]*)*"|[^",]*)'
 
-ORACLES = {
-    # a record is well quoted if it is a list of quoted or bare fields; the fields are cut out by one regular expression
-    "p1_found": f"""
-WITH lines AS (
-  SELECT line_id, coalesce(raw_line, '') AS raw FROM assignment_lines WHERE line_no IS NULL OR line_no <> 1
+# a record is well quoted if it is a list of quoted or bare fields; the fields are cut out by one regular expression
+JUDGED_LINES = f"""WITH lines AS (
+  SELECT line_id, file_name, line_no, coalesce(raw_line, '') AS raw FROM assignment_lines WHERE line_no IS NULL OR line_no <> 1
 ), cut AS (
-  SELECT line_id, regexp_full_match(raw, '(?s){_FIELD}(?:,{_FIELD})*') AS quoted,
+  SELECT line_id, file_name, line_no, regexp_full_match(raw, '(?s){_FIELD}(?:,{_FIELD})*') AS quoted,
          list_transform(regexp_extract_all(',' || raw, '(?s),({_FIELD})', 1),
            lambda f: CASE WHEN f LIKE '"%' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f
   FROM lines
 ), judged AS (
-  SELECT line_id, CASE
+  SELECT line_id, file_name, line_no, f, CASE
     WHEN NOT quoted THEN 'quoting'
     WHEN len(f) <> 11 THEN 'column_count'
     WHEN regexp_full_match(f[1], '(?s)[\\s\\p{{Z}}]*') OR regexp_matches(f[1], '[\\p{{Cc}}\\p{{Cf}}]') THEN 'net_name'
@@ -90,9 +97,17 @@ WITH lines AS (
                AND coalesce(isfinite(TRY_CAST(regexp_replace(f[3], '[\\s\\p{{Z}}]', '', 'g') AS DOUBLE)), false)) THEN 'final_voltage_v'
     WHEN regexp_replace(f[8], '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') NOT IN ({_STATES}) THEN 'review_state' END AS reason
   FROM cut
+)"""
+_VALUES = ", ".join(
+    f"TRY_CAST(regexp_replace(f[{k}], '[\\s\\p{{Z}}]', '', 'g') AS DOUBLE) AS {c}" if c == "final_voltage_v" else f"nullif(f[{k}], '') AS {c}" for k, c in enumerate(ASSIGNMENT_COLUMNS, 1)
 )
-SELECT line_id, reason FROM judged WHERE reason IS NOT NULL
-""",
+
+ORACLES = {
+    "p3_found": found_sql.P3_FOUND,
+    "p3_widths": found_sql.P3_WIDTHS,
+    "p4_found": found_sql.P4_FOUND,
+    "p1_found": f"{JUDGED_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p1_assignments": f"{JUDGED_LINES} SELECT line_id, file_name, line_no, {_VALUES} FROM judged WHERE reason IS NULL",
     # names of printable ASCII and full-width ASCII have the same normal form under this mapping
     "p5_found": """
 WITH rows AS (

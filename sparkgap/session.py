@@ -26,13 +26,19 @@ def build_session(app: str = "sparkgap", cores: int | str = "*", **conf: str) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only a
-    session without one (a test on one machine) gets a temporary folder.
+    The folder is the one the cluster names in `spark.checkpoint.dir`. Without
+    one only a local session (a test) gets a temporary folder; on a cluster that
+    would lie on the driver alone, so it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkgap-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sparkgap-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -42,4 +48,4 @@ def spread_out(df: DataFrame) -> DataFrame:
     For costly work per row on few, small files; large inputs are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

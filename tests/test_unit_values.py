@@ -71,3 +71,38 @@ def test_fit_recovers_the_weights():
 def test_empty(spark):
     jobs = spark.createDataFrame([], "job_id string, units string")
     assert symbol_widths(spark.createDataFrame([], SYMBOLS), jobs).collect() == []
+
+
+def test_hidden_units_are_found_again(spark):
+    from sparkgap.operators.unit_values import held_out_units, unit_calibration
+
+    rnd = random.Random(8)
+    symbols, jobs = [], []
+    for j in range(40):
+        unit, factor = (("mm", 0.001), ("inch", 0.0254))[j % 2]
+        jobs.append((f"j{j}", unit))
+        for k in range(25):
+            mm = math.exp(rnd.gauss(math.log(0.5), 0.6))
+            symbols.append((j * 100 + k, f"j{j}", "l", f"r{mm / factor:.2f}", None, None))
+    jobs.append(("none", None))
+    symbols += [(9001, "none", "l", "r3 mil", None, None), (9002, "j0", "l", "r0.5mm", None, None), (9003, None, "l", "r5", None, None)]
+    out = held_out_units(spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(jobs, "job_id string, units string"))
+    got = {r.job_id: r for r in out.collect()}
+    assert len(got) == 40 and {r.n_symbols for r in got.values()} == {25}
+    assert sum(r.agrees for r in got.values()) >= 39 and {r.given_unit for r in got.values()} == {"um", "mil"}
+    assert sum(r.n_jobs for r in unit_calibration(out).collect()) == 40
+    assert held_out_units(spark.createDataFrame([], SYMBOLS), spark.createDataFrame([], "job_id string, units string")).collect() == []
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_join_with_few_rows_spreads_a_hot_key(spark, most):
+    from sparkgap.tables import join_few
+
+    rows = spark.createDataFrame([("hot" if k % 2 else f"k{k % 6}" if k % 7 else None, k) for k in range(200)], "key string, v int")
+    few = spark.createDataFrame([("hot", 1), ("k0", 2), (None, 3)], "name string, w int")
+    expected = sorted((k, v, {"hot": 1, "k0": 2}.get(k)) for k, v in map(tuple, rows.filter("key is not null").collect()))
+    got = join_few(rows, few, {"key": "name"}, most=most)
+    assert got.columns == ["key", "v", "w"]
+    assert sorted(map(tuple, got.filter("key is not null").collect())) == sorted(expected, key=lambda r: (r[0], r[1]))
+    assert {r.w for r in got.filter("key is null").collect()} == {None}
+    assert {r.w for r in join_few(rows, few, {"key": "name"}, null_safe=True, most=most).filter("key is null").collect()} == {3}
