@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed_fields import explode_packed
 from ..operators.reject_rows import RowRules, load_delimited
-from ..operators.schema_drift import consistent_table, schema_changes
+from ..operators.schema_drift import consistent_table, schema_changes, top_level_changes
 from ..operators.snapshot_changes import snapshot_changes
 from ..operators.unit_values import held_out_units, symbol_widths, unit_calibration, wrong_widths
 from ..tables import table
@@ -64,9 +64,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = schema_changes(table(spark, sf_dir, "store_rows"))
-    top = changes.filter(~F.col("nested") & (F.col("change_kind") != "moved"))
-    return top.select("project_id", "from_file", "to_file", "change_kind", "old_field", "new_field")
+    return top_level_changes(schema_changes(table(spark, sf_dir, "store_rows")))
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
