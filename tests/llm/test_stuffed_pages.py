@@ -52,3 +52,52 @@ def test_rows_nulls_and_empty(spark):
     got = [r.doc_id for r in out.filter("is_stuffed").collect()]
     assert sorted(-1 if d is None else d for d in got) == [-1, 0, 0, 1, 2, 3, 4, 5]
     assert stuffed_pages(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+
+
+KEYWORDS = "watches bags rings chains belts shoes coats hats cases lamps clocks chairs tables pens knives spoons".split()
+
+
+@pytest.mark.parametrize("connector", ["and", "or", "für", "de"])
+def test_regular_lists_with_connectors_at_any_lag(connector):
+    for n in (5, 11, 16):
+        page = f" {connector} ".join(f"cheap {w}" if k % 3 else w for k, w in enumerate(KEYWORDS[:n])) + f" {connector} "
+        assert stuffing(page * 40)[0] > 0.66, (connector, n)
+    wide = f" {connector} ".join(f"{w}{'abcdefghijklmnop'[k]} {v}" for w in KEYWORDS for k, v in enumerate(KEYWORDS)) + f" {connector} "
+    assert stuffing(wide * 6)[4] > 0.5  # the lag is 768 marks
+
+
+def test_repeated_sentences_are_not_regular_lists():
+    assert stuffing((PROSE + " ") * 50)[0] < 0.3 and stuffing(GERMAN * 50)[4] < 0.1
+
+
+def test_many_texts_at_once_are_judged_like_single_ones():
+    import numpy as np
+
+    from sparkgap.llm import stuffed_pages as sp
+
+    texts = [t or "" for t in [*SPAM.values(), *FINE.values(), GERMAN, "x", ""]] * 3
+    together = np.vstack([sp.judged_shares(c) for c in sp._chunks(texts)])
+    assert np.allclose(together, [stuffing(t) for t in texts])
+    assert [len(c) for c in sp._chunks(["a" * sp.CHUNK, "b", "c" * sp.CHUNK])] == [1, 1, 1] and sp.judged_shares([]).shape == (0, 5)
+
+
+def test_gaps_against_brute_force():
+    import numpy as np
+
+    from sparkgap.llm.stuffed_pages import gaps
+
+    rnd = np.random.default_rng(1)
+    ids, texts = rnd.integers(0, 9, 150), np.sort(rnd.integers(0, 4, 150))
+    before, after = gaps(ids, texts)
+    for i in range(150):
+        back = [i - j for j in range(i) if ids[j] == ids[i] and texts[j] == texts[i]]
+        ahead = [j - i for j in range(i + 1, 150) if ids[j] == ids[i] and texts[j] == texts[i]]
+        assert (before[i] if back else 0, after[i] if ahead else 0) == (min(back, default=0), min(ahead, default=0))
+
+
+@pytest.mark.parametrize("mark, kind", [("https://a.b/c", "LINK"), ("gauge-mart.shop/x?y", "LINK"), ("#Tag", "TAG"), ("tags:x", "TAG"), ("NET_A1", "NAME"), ("IN2.CU", "NAME"), ("X54-8", "CODE"), ("0.25", "NUMBER"), ("weil", "FUNCTION"), ("low-noise", "WORD")])
+def test_kinds_of_marks(mark, kind):
+    from sparkgap.llm import stuffed_pages as sp
+
+    kinds, ids, lengths, texts = sp.read_marks([f"so {mark} {mark} "])
+    assert kinds.tolist() == [sp.FUNCTION, getattr(sp, kind), getattr(sp, kind)] and ids[1] == ids[2] and lengths[1] == len(mark)
