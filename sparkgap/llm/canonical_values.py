@@ -3,10 +3,15 @@
 Token-level repair: the distinct tokens of all values meet the vocabulary of the
 list through the texts that remain when up to two characters are deleted (an
 equi-join; no pair of distant tokens is ever formed), and pairs within the edit
-distance allowed for their length stay. Repaired tokens are combined into
-complete entries, ranked by edits and soft TF-IDF. Run-together or split words
-are repaired as a whole in the same way: the squashed value against the squashed
-names. Everything works on distinct values; rows are joined back at the end.
+distance allowed for their length stay. Complete entries are then ranked by soft
+TF-IDF: the cosine of the weighted tokens, a repaired one counting less by each
+edit, against a threshold. Entries are looked up by a value's heaviest tokens
+only, as many as no match can do without (a prefix filter), so a common word
+doesn't bring every value together with every entry that holds it. Run-together
+or split words are repaired as a whole in the same way: the squashed value
+against the squashed names. Words around a value that name no entry are learned
+from the values themselves. Everything works on distinct values; rows are joined
+back at the end.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions.net_names import compatible_text
 from ..session import cut_lineage
+from ..tables import join_few
 
-# Words around a value that name no entry; dropped at its ends if the list doesn't use them.
-ANNOTATIONS = ("sig", "signal", "net", "class", "type", "rev")
 MAX_EDITS = 3
-SHORT_LIST = 10_000  # entries; a longer list is joined by shuffle
+EDIT_COST, THRESHOLD = 0.06, 0.87
+LOOK_ALIKES = ("0158", "oisb")  # digits that stand for letters within words, at no cost
+OUTER = 2  # words that may stand before or behind a name
+ANNOTATION_SHARE = 0.001  # of the distinct values that must hold such a word beside a literal name
 
 
 def allowed_edits(length: Column) -> Column:
@@ -29,15 +36,32 @@ def allowed_edits(length: Column) -> Column:
 
 
 def typed_tokens(value: Column) -> Column:
-    """Lower-case words of a value: without what stands in brackets, 0 and 1 within words as o and i."""
+    """Lower-case words of a value: without what stands in brackets, look-alike digits within words as letters."""
     text = F.lower(F.regexp_replace(compatible_text(value), r"\([^)]*\)", " "))
     words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.rlike(r"\p{L}"), F.translate(t, "01", "oi")).otherwise(t))
+    return F.transform(words, lambda t: F.when(t.rlike(r"\p{L}"), F.translate(t, *LOOK_ALIKES)).otherwise(t))
 
 
-def without_annotations(tokens: Column, used: Column) -> Column:
+def learned_annotations(typed: DataFrame, forms: DataFrame, repaired: DataFrame) -> list[str]:
+    """Words that stand at the ends of values beside a literal name, are close to no word of the list, and do so often enough.
+
+    At most 2 x `OUTER` / `ANNOTATION_SHARE` of them come to the driver.
+    """
+    n = typed.count()
+    names = forms.select("kind", F.array_join("tokens", " ").alias("name")).distinct()
+    cuts = [(i, j) for i in range(OUTER + 1) for j in range(OUTER + 1) if i + j]
+    inner = lambda i, j: F.slice("tokens", i + 1, F.size("tokens") - i - j)
+    part = lambda i, j: F.when(F.size("tokens") > i + j, F.struct(F.array_join(inner(i, j), " ").alias("name"), F.array_except(F.col("tokens"), inner(i, j)).alias("outer")))
+    parts = typed.select("kind", "value", F.explode(F.array_compact(F.array(*[part(i, j) for i, j in cuts]))).alias("p")).select("kind", "value", "p.name", "p.outer")
+    beside = join_few(parts, cut_lineage(names), ["kind", "name"], "inner", spread=["value"]).select("kind", "value", F.explode("outer").alias("typed")).distinct()
+    unknown = beside.join(repaired.select("kind", "typed").distinct(), ["kind", "typed"], "left_anti")
+    often = unknown.groupBy("typed").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, n * ANNOTATION_SHARE))
+    return sorted(r["typed"] for r in often.collect())
+
+
+def without_annotations(tokens: Column, annotations: list[str]) -> Column:
     """Tokens from the first to the last that is no annotation (or all, if all are)."""
-    plain = F.transform(tokens, lambda t: ~t.isin(*ANNOTATIONS) | F.array_contains(used, t))
+    plain = F.transform(tokens, lambda t: ~t.isin(*annotations) if annotations else F.lit(True))
     first = F.array_position(plain, F.lit(True))
     last = F.size(tokens) + 1 - F.array_position(F.reverse(plain), F.lit(True))
     return F.when(first > 0, F.slice(tokens, first.cast("int"), (last - first + 1).cast("int"))).otherwise(tokens)
@@ -97,59 +121,87 @@ def reference_forms(reference: DataFrame) -> DataFrame:
     return forms.select("kind", "ref_id", "form", typed_tokens(F.col("name")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def _is_short(reference: DataFrame) -> bool:
-    """Whether the list is small enough to be sent to every executor (checked, not assumed)."""
-    return reference.limit(SHORT_LIST + 1).count() <= SHORT_LIST
+def weighted_forms(forms: DataFrame) -> DataFrame:
+    """(kind, ref_id, form, form_pos, word, w, norm, rare): the tokens of every name with their weights, the rarer in the list the higher.
+
+    `rare` is the weight of a word that no name has.
+    """
+    n_forms = forms.groupBy("kind").agg(F.count("*").alias("n_forms"))
+    words = forms.select("kind", "ref_id", "form", F.posexplode("tokens").alias("form_pos", "word"))
+    held = words.groupBy("kind", "word").agg(F.count("*").alias("held"))
+    weighed = words.join(held, ["kind", "word"]).join(n_forms, "kind").withColumn("w", F.log1p(F.col("n_forms") / F.col("held")))
+    norms = weighed.groupBy("kind", "ref_id", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighed.join(norms, ["kind", "ref_id", "form"]).select("kind", "ref_id", "form", "form_pos", "word", "w", "norm", F.log1p(F.col("n_forms")).alias("rare"))
+
+
+def scored_names(typed: DataFrame, repaired: DataFrame, form_words: DataFrame) -> DataFrame:
+    """(kind, value, ref_id, edits, score) of the names whose tokens are like those of a value, by soft TF-IDF.
+
+    Every pair with a score of at least `THRESHOLD` comes out, and others that share
+    a heavy token. Each token of a name takes its nearest token of the value, each
+    token of a value goes to one token.
+    """
+    weights = form_words.groupBy("kind", "word").agg(F.first("w").alias("w"))
+    repairs = join_few(repaired, cut_lineage(weights), ["kind", "word"], "inner", spread=["typed"])
+    per_token = repairs.groupBy("kind", "typed").agg(F.collect_list(F.struct("word", "edits")).alias("repairs"), F.max("w").alias("w"))
+    rare = form_words.groupBy("kind").agg(F.max("rare").alias("rare"))
+    tokens = typed.select("kind", "value", F.posexplode("tokens").alias("pos", "typed")).join(per_token, ["kind", "typed"], "left")
+    tokens = join_few(tokens, cut_lineage(rare), ["kind"], "inner", spread=["value"]).withColumn("w", F.coalesce("w", "rare"))
+    tokens = tokens.repartition("kind", "value")
+    whole = Window.partitionBy("kind", "value")
+    heaviest = whole.orderBy(F.col("w").desc(), "pos")
+    square = F.col("w") * F.col("w")
+    ahead = F.coalesce(F.sum(square).over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    all_ = F.sum(square).over(whole)
+    # what lies behind this token could still reach the threshold by itself, or it is the first that can't
+    tokens = tokens.withColumn("value_norm", F.sqrt(all_)).withColumn("leads", all_ - ahead >= all_ * THRESHOLD * THRESHOLD).filter("repairs is not null")
+    tokens = cut_lineage(tokens.select("kind", "value", "pos", "typed", "repairs", F.col("w").alias("value_w"), "value_norm", "leads"))
+    each = tokens.select("*", F.explode("repairs").alias("r")).select("kind", "value", "pos", "typed", "value_w", "value_norm", "leads", "r.word", "r.edits")
+    asked = each.filter("leads").select("kind", "value", "word").distinct()
+    heads = cut_lineage(form_words.select("kind", "word", "ref_id", "form").distinct())
+    pairs = join_few(asked, heads, ["kind", "word"], "inner", spread=["value"]).select("kind", "value", "ref_id", "form").distinct()
+    met = pairs.join(each, ["kind", "value"])
+    matched = join_few(met, form_words.select("kind", "ref_id", "form", "word", "form_pos", "w", "norm"), ["kind", "ref_id", "form", "word"], "inner", spread=["value"])
+    like = F.col("value_w") * F.col("w") * (1 - EDIT_COST * F.col("edits"))
+    by_form = matched.groupBy("kind", "value", "ref_id", "form", "form_pos").agg(F.min(F.struct("edits", "pos", like.alias("part"), (F.col("value_norm") * F.col("norm")).alias("norms"))).alias("m"))
+    by_token = by_form.groupBy("kind", "value", "ref_id", "form", F.col("m.pos").alias("pos")).agg(F.max(F.struct("m.part", (-F.col("m.edits")).alias("e"), "m.norms")).alias("m"))
+    scores = by_token.groupBy("kind", "value", "ref_id", "form").agg(F.sum("m.part").alias("dot"), F.max("m.norms").alias("norms"), (-F.sum("m.e")).alias("edits"))
+    return scores.select("kind", "value", "ref_id", "edits", (F.col("dot") / F.col("norms")).alias("score"))
 
 
 def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """(kind, value, ref_id, edits, score) of each distinct non-blank value; ref_id is 0 if no entry is meant.
+    """(kind, value, ref_id, edits, score, nearest_ref_id) of each distinct non-blank value; ref_id is 0 if no entry is meant.
 
     `values` has kind and value, `reference` kind, ref_id, entry and aliases. A
-    value means an entry if its tokens, each repaired by at most two edits, are
-    exactly those of one of the entry's names in any order, or if it is such a
-    name run together or split wrongly, within `MAX_EDITS` edits in all. Of
-    several, the one of fewest edits counts, then of highest score; if two entries
-    are still equal, none is meant. Null and blank values are left out; values
-    longer than any name can't match. An empty list maps everything to 0.
+    value means the entry whose name has the highest soft TF-IDF score with its
+    repaired tokens, if that is at least `THRESHOLD` and takes at most `MAX_EDITS`
+    edits; a value that is a name run together or split wrongly, within so many
+    edits, scores a little less than one of the same edits by tokens. If two
+    entries are equally best, none is meant. `nearest_ref_id` is the best one even
+    where it isn't good enough (null if nothing comes near). Null and blank values
+    are left out; values longer than any name can't match. An empty list maps
+    everything to 0.
     """
-    hint = F.broadcast if _is_short(reference) else (lambda df: df)
     forms = cut_lineage(reference_forms(reference))
-    word_list = forms.select("kind", F.explode("tokens").alias("word"))
-    used = word_list.groupBy("kind").agg(F.collect_set(F.when(F.col("word").isin(*ANNOTATIONS), F.col("word"))).alias("__used"))
+    form_words = cut_lineage(weighted_forms(forms))
+    word_list = form_words.select("kind", "word").distinct()
     distinct = values.filter(F.trim("value") != "").select("kind", "value").distinct()
-    typed = distinct.join(hint(used), "kind", "left").withColumn("tokens", without_annotations(typed_tokens(F.col("value")), F.coalesce("__used", F.array().cast("array<string>")))).drop("__used")
-    typed = cut_lineage(typed)  # read by four branches
-
-    # each word's weight: the rarer in the list, the higher
-    n_forms = forms.groupBy("kind").agg(F.count("*").alias("__n"))
-    weights = word_list.withColumn("__one", F.lit(1)).groupBy("kind", "word").agg(F.sum("__one").alias("__df")).join(hint(n_forms), "kind").select("kind", "word", F.log1p(F.col("__n") / F.col("__df")).alias("w"))
-    form_words = forms.select("kind", "ref_id", "form", F.size("tokens").alias("n_form"), F.posexplode("tokens").alias("form_pos", "word")).join(hint(weights), ["kind", "word"])
-    norms = form_words.groupBy("kind", "ref_id", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    form_words = form_words.join(hint(norms), ["kind", "ref_id", "form"])
-
-    value_words = typed.select("kind", "value", F.size("tokens").alias("n_value"), F.posexplode("tokens").alias("value_pos", "typed"))
-    repaired = close_texts(value_words, word_list)
-    matched = value_words.join(repaired, ["kind", "typed"]).join(hint(form_words), ["kind", "word"]).filter("n_value = n_form")
-    best = matched.groupBy("kind", "value", "ref_id", "form", "form_pos", "n_value", "norm").agg(
-        F.min(F.struct("edits", "value_pos", (F.col("w") * (1 - F.col("edits") / F.greatest(F.length("typed"), F.length("word")))).alias("part"), "w")).alias("m")
-    )
-    by_tokens = (
-        best.groupBy("kind", "value", "ref_id", "form", "n_value", "norm")
-        .agg(F.count("*").alias("covered"), F.count_distinct("m.value_pos").alias("taken"), F.sum("m.edits").alias("edits"), F.sum(F.col("m.part") * F.col("m.w")).alias("dot"))
-        .filter("covered = n_value and taken = n_value")
-        .select("kind", "value", "ref_id", "edits", (F.col("dot") / (F.col("norm") * F.col("norm"))).alias("score"))
-    )
+    typed = cut_lineage(distinct.withColumn("tokens", typed_tokens(F.col("value"))))
+    repaired = cut_lineage(close_texts(typed.select("kind", F.explode("tokens").alias("typed")), word_list))
+    typed = typed.withColumn("tokens", without_annotations(F.col("tokens"), learned_annotations(typed, forms, repaired)))
 
     squashed = typed.select("kind", "value", F.array_join("tokens", "").alias("typed"))
     orders = forms.select("kind", "ref_id", F.explode(F.array_distinct(F.array(F.array_join("tokens", ""), F.array_join(F.reverse("tokens"), "")))).alias("word"))
-    whole = squashed.join(close_texts(squashed, orders), ["kind", "typed"]).join(hint(orders), ["kind", "word"])
-    by_whole = whole.select("kind", "value", "ref_id", "edits", (0.5 * (1 - F.col("edits") / F.greatest(F.length("typed"), F.length("word")))).alias("score"))
+    orders = cut_lineage(orders.distinct())
+    whole = join_few(squashed.join(close_texts(squashed, orders), ["kind", "typed"]), orders, ["kind", "word"], "inner", spread=["value"])
+    by_whole = whole.select("kind", "value", "ref_id", "edits", (0.999 * (1 - EDIT_COST * F.col("edits"))).alias("score"))
 
-    found = by_tokens.unionByName(by_whole).filter(F.col("edits") <= MAX_EDITS).groupBy("kind", "value", "ref_id").agg(F.max(F.struct((-F.col("edits")).alias("e"), "score")).alias("r"))
+    every = scored_names(typed, repaired, form_words).unionByName(by_whole)
+    best = every.groupBy("kind", "value", "ref_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("edits")).alias("e"))).alias("r"))
     order = Window.partitionBy("kind", "value").orderBy(F.col("r").desc(), "ref_id")
-    ranked = found.withColumn("__n", F.row_number().over(order)).withColumn("__next", F.lead("r").over(order)).filter("__n = 1")
-    chosen = ranked.select("kind", "value", F.when(F.col("__next").isNull() | (F.col("__next") < F.col("r")), F.col("ref_id")).otherwise(0).alias("ref_id"), (-F.col("r.e")).alias("edits"), F.col("r.score").alias("score"))
+    ranked = best.withColumn("__n", F.row_number().over(order)).withColumn("__next", F.lead("r").over(order)).filter("__n = 1")
+    meant = (F.col("r.score") >= THRESHOLD) & (-F.col("r.e") <= MAX_EDITS) & (F.col("__next").isNull() | (F.col("__next") < F.col("r")))
+    chosen = ranked.select("kind", "value", F.when(meant, F.col("ref_id")).otherwise(0).alias("ref_id"), (-F.col("r.e")).alias("edits"), F.col("r.score").alias("score"), F.col("ref_id").alias("nearest_ref_id"))
     return distinct.join(chosen, ["kind", "value"], "left").withColumn("ref_id", F.coalesce("ref_id", F.lit(0)).cast("bigint"))
 
 
@@ -165,8 +217,8 @@ def typed_fields(rules: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def mapped_fields(rules: DataFrame, manual: DataFrame, reference: DataFrame) -> DataFrame:
-    """(src, row_id, kind, value, ref_id) of all typed fields whose value is not literally an entry."""
-    entries = reference.select("kind", F.col("entry").alias("value")).distinct()
-    hint = F.broadcast if _is_short(reference) else (lambda df: df)
-    fields = typed_fields(rules, manual).join(hint(entries), ["kind", "value"], "left_anti")
-    return fields.join(map_values(fields, reference).select("kind", "value", "ref_id"), ["kind", "value"]).select("src", "row_id", "kind", "value", "ref_id")
+    """(src, row_id, kind, value, ref_id, nearest_ref_id, score) of all typed fields whose value is not literally an entry."""
+    entries = reference.select("kind", F.col("entry").alias("value"), F.lit(True).alias("__literal")).distinct()
+    fields = join_few(typed_fields(rules, manual), entries, ["kind", "value"], spread=["src", "row_id"]).filter("__literal is null").drop("__literal")
+    mapped = map_values(fields, reference).select("kind", "value", "ref_id", "nearest_ref_id", "score")
+    return fields.join(mapped, ["kind", "value"]).select("src", "row_id", "kind", "value", "ref_id", "nearest_ref_id", "score")

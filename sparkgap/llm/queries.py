@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
 from . import canonical_values, container_filling, source_mixing, stuffed_pages, token_sizes, top_items
@@ -20,12 +21,14 @@ def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = (table(spark, sf_dir, name) for name in ("net_rules", "manual_entries", "canonical_names"))
-    return canonical_values.mapped_fields(*tables).select("src", "row_id", "ref_id").dropDuplicates(["src", "row_id"])
+    # a row_id with several values counts by the first of them
+    return canonical_values.mapped_fields(*tables).groupBy("src", "row_id").agg(F.min_by("ref_id", "value").alias("ref_id"))
 
 
 def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = (table(spark, sf_dir, name) for name in ("net_rules", "manual_entries", "canonical_names"))
-    return canonical_values.mapped_fields(*tables).filter("ref_id = 0").groupBy("kind", "value").count().withColumnRenamed("count", "n_rows")
+    unmatched = canonical_values.mapped_fields(*tables).filter("ref_id = 0")
+    return unmatched.groupBy("kind", "value", "nearest_ref_id", "score").agg(F.count("*").alias("n_rows"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

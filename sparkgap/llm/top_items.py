@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from ..tables import join_few
 
 BROADCAST_GROUPS = 50_000  # a row of keys and a bin each: a few MB
-SALTS = 32
 WORTHWHILE = 8  # a group of fewer than so many times N rows has no histogram
 CROWDED = 64  # a bin at the threshold with more than so many times N rows is refined
 BINS, FINER = 3, 10  # bits: 8 bins a doubling, 1,024 finer ones in each
@@ -38,21 +38,9 @@ def score_bin(score: Column) -> Column:
     return F.shiftright(score_place(score), FINER)
 
 
-def _joined(rows: DataFrame, few: DataFrame, keys: list[str], n_few: int, how: str, spread: list[str]) -> DataFrame:
-    """`rows` joined with a row per group: broadcast up to `BROADCAST_GROUPS` groups, else salted.
-
-    Salting spreads every group over `SALTS` tasks by the values of `spread`, so
-    that a group with a third of all rows doesn't end in one of them.
-    """
-    inner = [f"__k{i}" for i in range(len(keys))]
-    few = few.select(*[F.col(k).alias(a) for k, a in zip(keys, inner)], *[c for c in few.columns if c not in keys])
-    match = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, inner)]
-    if n_few <= BROADCAST_GROUPS:
-        joined = rows.join(F.broadcast(few), match, how)
-        return joined.drop(*inner)
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    few = few.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("__s", F.col("__s").cast("bigint"))
-    return rows.join(few, [*match, F.col("__salt") == F.col("__s")], how).drop(*inner, "__salt", "__s")
+def _joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str, spread: list[str]) -> DataFrame:
+    """`rows` with a row per group: broadcast up to `BROADCAST_GROUPS` groups, else salted, so that no group ends in one task."""
+    return join_few(rows, few, keys, how, spread=spread, null_safe=True, most=BROADCAST_GROUPS)
 
 
 def _running(counts: DataFrame, keys: list[str], bin_: str) -> DataFrame:
@@ -68,12 +56,12 @@ def group_thresholds(placed: DataFrame, keys: list[str], n: int, small: int, spr
     large = cut_lineage(placed.groupBy(*keys).agg(F.count("*").alias("__all")).filter(F.col("__all") > small).select(*keys))
     n_large = large.count()
     bin_ = F.shiftright("__place", FINER)
-    counts = _joined(placed, large, keys, n_large, "inner", spread).groupBy(*keys, bin_.alias("__bin")).agg(F.count("*").alias("__c"))
+    counts = _joined(placed, large, keys, "inner", spread).groupBy(*keys, bin_.alias("__bin")).agg(F.count("*").alias("__c"))
     reached = _running(counts, keys, "__bin").filter(F.col("__upto") >= n)
     edge = cut_lineage(reached.groupBy(*keys).agg(F.min_by(F.struct("__bin", "__c", (F.col("__upto") - F.col("__c")).alias("before")), "__bin").alias("e")).select(*keys, "e.*"))
     crowded = edge.filter(F.col("__c") > CROWDED * n)
     whole = edge.filter(F.col("__c") <= CROWDED * n).select(*keys, (F.shiftleft(F.col("__bin") + 1, FINER) - 1).alias("__limit"))
-    at_edge = _joined(placed, crowded.select(*keys, "__bin", "before"), keys, crowded.count(), "inner", spread).filter(bin_ == F.col("__bin"))
+    at_edge = _joined(placed, crowded.select(*keys, "__bin", "before"), keys, "inner", spread).filter(bin_ == F.col("__bin"))
     finer = at_edge.groupBy(*keys, "__place").agg(F.count("*").alias("__c"), F.min("before").alias("before"))
     refined = _running(finer, keys, "__place").filter(F.col("before") + F.col("__upto") >= n).groupBy(*keys).agg(F.min("__place").alias("__limit"))
     return cut_lineage(whole.unionByName(refined)), n_large
@@ -92,8 +80,8 @@ def top_items(rows: DataFrame, keys: list[str], score: str, ties: list[str], n:
     small = WORTHWHILE * n if small is None else max(small, n)
     place = score_place(F.col(score))
     placed = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("__place", -place if largest else place)
-    limits, n_large = group_thresholds(placed, keys, n, small, [score, *ties])
-    survivors = _joined(placed, limits, keys, n_large, "left", [score, *ties]).filter(F.col("__limit").isNull() | (F.col("__place") <= F.col("__limit")))
+    limits, _ = group_thresholds(placed, keys, n, small, [score, *ties])
+    survivors = _joined(placed, limits, keys, "left", [score, *ties]).filter(F.col("__limit").isNull() | (F.col("__place") <= F.col("__limit")))
     order = Window.partitionBy(*keys).orderBy(F.col(score).desc() if largest else F.col(score).asc(), *[F.col(t).asc_nulls_last() for t in ties])
     return survivors.drop("__place", "__limit").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
 

@@ -52,3 +52,62 @@ def test_fields_once_per_row_and_empty_list(spark):
     assert got == [("manual_entries.net_name", 8, 103), ("manual_entries.net_name", 9, 0), ("net_rules.net_class", 1, 1), ("net_rules.pattern", 1, 102)]
     nothing = mapped_fields(rules, manual, reference.limit(0)).collect()
     assert {r.ref_id for r in nothing} == {0} and len(nothing) == 6
+
+
+def test_annotations_are_learned_and_light_words_may_be_missing(spark):
+    names = [(k, "city", f"{a} {b}", None) for k, (a, b) in enumerate([(x, "holding company") for x in ("albatros", "birkenhof", "cassiopeia", "drachenfels", "eulenspiegel", "falkenstein")])]
+    reference = spark.createDataFrame(names, SCHEMA)
+    values = ["attn albatros holding company", "albatros holding company attn", "attn drachenfells holding company", "eulenspiegel company holding", "cassiopeia holdng", "company holding", "attn", "attn zzz", "x attn albatros holding company y"]
+    got = {r.value: (r.ref_id, r.nearest_ref_id) for r in map_values(spark.createDataFrame([("city", v) for v in values], "kind string, value string"), reference).collect()}
+    assert [got[v][0] for v in values[:4]] == [0, 0, 3, 4]
+    assert got["company holding"][0] == 0 and got["attn"] == (0, None) == got["attn zzz"]
+    assert got["cassiopeia holdng"][1] == 2
+
+
+def test_no_name_above_the_threshold_is_lost(spark):
+    import math
+
+    from sparkgap.llm import canonical_values as cv
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(3, 7))) for _ in range(25)]
+    heavy = lambda: words[min(int(rnd.expovariate(0.25)), 24)]
+    names = {k: list(dict.fromkeys(heavy() for _ in range(rnd.randint(1, 7)))) for k in range(40)}
+    values = {f"v{k}": [w if rnd.random() < 0.8 else w[:-1] + "z" for w in rnd.choice(list(names.values()))] for k in range(120)}
+    for v in values.values():
+        rnd.shuffle(v)
+        if rnd.random() < 0.4 and len(v) > 1:
+            v.pop()
+        if rnd.random() < 0.3:
+            v.append(heavy())
+    forms = spark.createDataFrame([("k", k, 0, t) for k, t in names.items()], "kind string, ref_id bigint, form int, tokens array<string>")
+    typed = spark.createDataFrame([("k", v, t) for v, t in values.items()], "kind string, value string, tokens array<string>")
+    form_words = cv.weighted_forms(forms)
+    repaired = close_texts(typed.selectExpr("kind", "explode(tokens) as typed"), form_words.select("kind", "word").distinct())
+    got = {(r.value, r.ref_id): r.score for r in cv.scored_names(typed, repaired, form_words).collect()}
+    near = {(r.typed, r.word): r.edits for r in repaired.collect()}
+    weight = {w: math.log1p(len(names) / sum(w in t for t in names.values())) for t in names.values() for w in t}
+    for value, tokens in values.items():
+        heft = [max([weight[w] for (t, w) in near if t == token], default=math.log1p(len(names))) for token in tokens]
+        norm = math.sqrt(sum(h * h for h in heft))
+        for k, name in names.items():
+            best = {}
+            for f, word in enumerate(name):
+                options = [(near[token, word], p) for p, token in enumerate(tokens) if (token, word) in near]
+                if options:
+                    e, p = min(options)
+                    best[p] = max(best.get(p, 0), heft[p] * weight[word] * (1 - cv.EDIT_COST * e))
+            score = sum(best.values()) / (norm * math.sqrt(sum(weight[w] ** 2 for w in name)))
+            assert (value, k) in got or score < cv.THRESHOLD, (value, k, score)
+            if (value, k) in got:
+                assert abs(got[value, k] - score) < 1e-9
+
+
+def test_a_common_word_brings_few_pairs(spark):
+    from sparkgap.llm import canonical_values as cv
+
+    forms = spark.createDataFrame([("k", k, 0, [f"word{k}x", "common"]) for k in range(200)], "kind string, ref_id bigint, form int, tokens array<string>")
+    typed = spark.createDataFrame([("k", f"v{k}", [f"word{k}x", "common"]) for k in range(200)], "kind string, value string, tokens array<string>")
+    form_words = cv.weighted_forms(forms)
+    repaired = typed.selectExpr("kind", "explode(tokens) as typed").distinct().selectExpr("kind", "typed", "typed as word", "0 as edits")
+    assert cv.scored_names(typed, repaired, form_words).count() == 200
