@@ -3,7 +3,10 @@
 Every row is the left side of one comparison (its revision with the next one
 present) and the right side of another. The sides are range-partitioned and
 sorted by (scope, revision, key), so that a merge with one cursor on each side
-runs through every range once and holds one key at a time.
+runs through every range once and holds one key at a time. Rows repeated within
+a snapshot are dropped before, already on the map side, so that a name that most
+rows repeat is no long stretch of one range; that exchange also spares the
+sampling for the ranges from computing the keys again.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net_names import normal_name
+from ..tables import join_few, settle
 
 CHANGE_SCHEMA = (
     "project_id string, from_rev int, to_rev int, old_net string, new_net string, match_status string,"
@@ -37,7 +41,12 @@ def revision_sides(snapshots: DataFrame) -> DataFrame:
     revisions = revisions.select(
         F.col("project_id").alias("__p"), F.col("rev_no").alias("__r"), F.lag("rev_no").over(order).alias("__before"), F.lead("rev_no").over(order).alias("__after")
     )
-    rows = snapshots.join(revisions, F.col("project_id").eqNullSafe(F.col("__p")) & (F.col("rev_no") == F.col("__r")))
+    key = F.coalesce(normal_name(F.col("net_name")), F.lit(""))
+    compared = ["project_id", "rev_no", "net_name", "final_class", "final_voltage_v", "review_state", "galvanic_zone", "row_id", "loaded_at"]
+    keyed = settle(snapshots.filter("rev_no is not null").select(*compared), key=key)
+    newest = Window.partitionBy("project_id", "rev_no", "key").orderBy(F.col("loaded_at").desc_nulls_last(), F.col("row_id").desc_nulls_last())
+    once = keyed.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+    rows = join_few(once, revisions, {"project_id": "__p", "rev_no": "__r"}, "inner", spread=["key"], null_safe=True)
     left = F.struct(F.col("rev_no").alias("a"), F.col("__after").alias("b"), F.lit(0).alias("side"))
     right = F.struct(F.col("__before").alias("a"), F.col("rev_no").alias("b"), F.lit(1).alias("side"))
     sides = F.filter(F.array(left, right), lambda s: s["a"].isNotNull() & s["b"].isNotNull())
@@ -45,7 +54,7 @@ def revision_sides(snapshots: DataFrame) -> DataFrame:
     return rows.select(
         "project_id",
         F.explode(sides).alias("s"),
-        F.coalesce(normal_name(F.col("net_name")), F.lit("")).alias("key"),
+        "key",
         F.coalesce("net_name", F.lit("")).alias("net"),
         F.coalesce("final_class", F.lit("")).alias("final_class"),
         volts.alias("final_voltage_v"),
