@@ -2,10 +2,12 @@
 
 A linear grouping scheme: large items are sorted and cut into groups of equal
 cardinality, each rounded up to its largest length, so that few sizes remain; for
-those, configurations (how many of each size share a container) are optimised by
-a knapsack on what is left of each size; the slots are then given to actual
-items, which leaves extra space where they are shorter than their group; small
-items go by best fit into the space that is left.
+those, the cheapest combination of configurations (how many of each size share a
+container) is found by a linear program whose columns are generated by a
+knapsack, and rounded down; what that leaves takes the best single
+configurations. The slots are then given to actual items, which leaves extra
+space where they are shorter than their group; small items go by best fit into
+the space that is left.
 
 The scheme runs in cells of bounded size: an item's cell is a hash of its id, and
 the number of cells follows from the number of items. A cell wastes at most a
@@ -51,6 +53,56 @@ def best_configuration(sizes: Sequence[int], left: Sequence[int], capacity: int)
     return counts
 
 
+def _most_valuable(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of highest total value, repetition allowed."""
+    layers = [np.zeros(capacity + 1)]
+    picks: list[np.ndarray] = []
+    for _ in range(capacity // int(sizes.min())):
+        options = np.full((len(sizes) + 1, capacity + 1), -np.inf)
+        options[0] = layers[-1]
+        for k, size in enumerate(sizes):
+            if values[k] > 0:
+                options[k + 1, size:] = layers[-1][: capacity + 1 - size] + values[k]
+        pick = options.argmax(axis=0)
+        if not pick.any():
+            break
+        layers.append(options[pick, np.arange(capacity + 1)])
+        picks.append(pick)
+    counts, at = np.zeros(len(sizes)), capacity
+    for pick in reversed(picks):
+        k = pick[at]
+        if k:
+            counts[k - 1] += 1
+            at -= int(sizes[k - 1])
+    return float(layers[-1][capacity]), counts
+
+
+def configuration_program(sizes: Sequence[int], demand: Sequence[int], capacity: int, *, most_rounds: int = 2_000) -> tuple[float, list[tuple[np.ndarray, float]]]:
+    """The least number of containers (fractional) for `demand` items of each size, and how often each configuration is used.
+
+    A linear program over all configurations, solved by the simplex method with
+    generated columns: a column enters while the knapsack at the current prices
+    finds a configuration worth more than the container it costs.
+    """
+    s, d = np.asarray(sizes, np.int64), np.asarray(demand, float)
+    columns = np.diag((capacity // s).astype(float))
+    inverse = np.diag(1.0 / (capacity // s))
+    for _ in range(most_rounds):
+        prices = inverse.sum(axis=0)
+        value, entering = _most_valuable(s, prices, capacity)
+        if value <= 1 + 1e-9:
+            break
+        use, direction = inverse @ d, inverse @ entering
+        ratios = np.where(direction > 1e-12, use / np.where(direction > 1e-12, direction, 1.0), np.inf)
+        leaving = int(ratios.argmin())
+        columns[:, leaving] = entering
+        pivot = inverse[leaving] / direction[leaving]
+        inverse -= np.outer(direction, pivot)
+        inverse[leaving] = pivot
+    use = np.maximum(inverse @ d, 0.0)
+    return float(use.sum()), [(columns[:, k].astype(int), float(use[k])) for k in range(len(s)) if use[k] > 1e-9]
+
+
 def fill_containers(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The container (0, 1, ...) of each item; every length is within 1 and the capacity."""
     where = np.full(len(lengths), -1, dtype=np.int64)
@@ -65,10 +117,11 @@ def fill_containers(lengths: np.ndarray, capacity: int) -> np.ndarray:
             merged.setdefault(int(lengths[chunk[0]]), []).extend(chunk.tolist())
         sizes = sorted(merged, reverse=True)
         queues = [merged[s][::-1] for s in sizes]
+        plan = [(counts.tolist(), int(times + 1e-9)) for counts, times in configuration_program(sizes, [len(q) for q in queues], capacity)[1]]
         while any(queues):
             left = [len(q) for q in queues]
-            counts = best_configuration(sizes, left, capacity)
-            times = min(left[k] // c for k, c in enumerate(counts) if c)
+            counts, times = plan.pop() if plan else (best_configuration(sizes, left, capacity), 1 << 60)
+            times = min([times, *[left[k] // c for k, c in enumerate(counts) if c]])
             for _ in range(times):
                 free = capacity
                 for k, c in enumerate(counts):
@@ -126,7 +179,8 @@ def pack_documents(sizes: DataFrame, capacity: int = 2048, *, cell_items: int =
 
 
 def packing_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """One row: documents, pieces, containers, tokens and the share of space that is filled."""
+    """One row: pieces, tokens, containers, the share of space that is filled, the fewest containers that could hold the tokens, and how many more are used."""
     used = packed.filter("container_id is not null")
     totals = used.agg(F.count("*").alias("n_pieces"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count_distinct("container_id").alias("n_containers"))
-    return totals.withColumn("filled", F.col("n_tokens") / F.greatest(F.col("n_containers") * capacity, F.lit(1)))
+    totals = totals.withColumn("filled", F.col("n_tokens") / F.greatest(F.col("n_containers") * capacity, F.lit(1)))
+    return totals.withColumn("fewest", F.ceil(F.col("n_tokens") / capacity)).withColumn("beyond_fewest", F.col("n_containers") - F.col("fewest"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkgap.llm.container_filling import best_configuration, fill_containers, pack_documents, packing_report
+from sparkgap.llm.container_filling import best_configuration, configuration_program, fill_containers, pack_documents, packing_report
 from sparkgap.llm.source_mixing import find_quotas, mix_sources
 from sparkgap.llm.token_sizes import count_tokens, load_encoding, token_sizes, tokenizer_path
 
@@ -80,3 +80,34 @@ def test_shares_and_repeats(spark):
     assert len({(r.doc_id, r.copy_no) for r in got}) == len(got)
     none, empty = mix_sources(spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint"), targets)
     assert none.collect() == [] and {r.actual_share for r in empty.collect()} == {0.0}
+
+
+def test_configuration_program_is_optimal():
+    """Against the prices of brute force: no configuration is worth more than a container, and the uses meet the demand."""
+    import itertools
+
+    rnd = random.Random(7)
+    for _ in range(25):
+        sizes = sorted(rnd.sample(range(8, 40), 4), reverse=True)
+        demand = [rnd.randint(1, 50) for _ in sizes]
+        least, used = configuration_program(sizes, demand, 60)
+        got = np.sum([counts * times for counts, times in used], axis=0)
+        assert np.allclose(got, demand) and all(int(c @ np.array(sizes)) <= 60 for c, _ in used)
+        every = [np.array(c) for c in itertools.product(*[range(60 // s + 1) for s in sizes]) if np.array(c) @ np.array(sizes) <= 60]
+        # weak duality: prices under which no configuration is worth more than 1 bound the number of containers from below
+        basis = np.array([c for c, _ in used], float)
+        if len(used) == len(sizes):
+            prices = np.linalg.solve(basis, np.ones(len(sizes)))
+            assert max(c @ prices for c in every) <= 1 + 1e-6 and abs(prices @ np.array(demand) - least) < 1e-6
+        assert least >= np.dot(sizes, demand) / 60 - 1e-9
+
+
+def test_configurations_beat_first_fit_where_sizes_pair_up():
+    lengths = np.array([1400] * 50 + [648] * 50 + [1000] * 33 + [524] * 66)
+    assert len(np.bincount(fill_containers(lengths, 2048))) <= 84
+
+
+def test_report_counts_what_is_beyond_the_fewest(spark):
+    packed = pack_documents(spark.createDataFrame([(k, 1500) for k in range(10)], "doc_id bigint, n_tokens bigint"))
+    r = packing_report(packed).first()
+    assert (r.n_containers, r.fewest, r.beyond_fewest) == (10, 8, 2)
