@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.estimators import effective_voltage, ipc_voltage, layer_pollution, without_particle
 from ..functions.layers import layer_key, layer_role, stack_place
-from ..tables import settle
-
-BROADCAST_LAYERS = 50_000
+from ..tables import join_few, settle
 
 
 def critical_pairs(measurements: DataFrame, threshold_mm: float) -> DataFrame:
@@ -59,21 +57,20 @@ def measured_layer_roles(measurements: DataFrame) -> DataFrame:
     return layer_roles(layers, "job_id", "layer", stack_place(F.col("layer")))
 
 
-def recomputed_voltages(measurements: DataFrame, *, roles: DataFrame | None = None, cti: float = 175.0, pollution: int = 2, altitude_m: float = 5500.0, particle_mm: float = 0.0, coated: bool = False) -> DataFrame:
+def recomputed_voltages(measurements: DataFrame, *, roles: DataFrame | str, cti: float = 175.0, pollution: int = 2, altitude_m: float = 5500.0, particle_mm: float = 0.0, coated: bool = False) -> DataFrame:
     """`measurements` with both voltages computed anew under other settings; distances are reused.
 
     `roles` holds job_id, layer (as layer_key spells it) and layer_role, each
-    layer once; layers not in it count as external. Without `roles` the role comes
-    from the layer's name alone, and names that say nothing count as external.
+    layer once; layers not in it count as external. A role's name instead of a
+    table rates every layer by that role, as the user may override it.
     """
-    if roles is None:
-        placed = settle(measurements, layer_role=layer_role(layer_key(F.col("layer")), F.lit(0), F.lit(1)))
+    if isinstance(roles, str):
+        placed = settle(measurements, layer_role=F.lit(roles))
     else:
-        known = roles.select(F.col("job_id").alias("__job"), F.col("layer").alias("__layer"), F.col("layer_role").alias("__role"))
-        if known.limit(BROADCAST_LAYERS + 1).count() <= BROADCAST_LAYERS:
-            known = F.broadcast(known)
-        joined = measurements.join(known, (F.col("job_id") == F.col("__job")) & (layer_key(F.col("layer")) == F.col("__layer")), "left")
-        placed = settle(joined, layer_role=F.coalesce("__role", F.lit("external"))).drop("__job", "__layer", "__role")
+        known = roles.select("job_id", F.col("layer").alias("__layer"), F.col("layer_role").alias("__role"))
+        spread = [c for c in ("measurement_id", "net_a", "net_b") if c in measurements.columns]
+        joined = join_few(measurements.withColumn("__key", layer_key(F.col("layer"))), known, {"job_id": "job_id", "__key": "__layer"}, spread=spread)
+        placed = settle(joined, layer_role=F.coalesce("__role", F.lit("external"))).drop("__key", "__role")
     role = F.col("layer_role")
     reduced = F.when(F.col("clearance_mm") >= 0, without_particle(F.col("clearance_mm"), role, particle_mm))
     ready = settle(placed, __degree=layer_pollution(role, F.lit(coated), pollution), __reduced=reduced)
@@ -86,15 +83,15 @@ def isolation_check(measurements: DataFrame, isolated: DataFrame, *, clearance_m
     """Pairs of an isolated net with one that isn't, against the required spacing.
 
     `isolated` holds `net` (and the scope). The larger of clearance and creepage,
-    times the factor, is required; PASS if the margin is not negative.
+    times the factor, is required; PASS if the margin is not negative. A net that
+    most pairs share makes no hot task: the isolated nets are broadcast if few,
+    else joined with salts.
     """
     required = max(0.0, clearance_mm, creepage_mm) * max(0.0, factor)
     marked = isolated.select(*scope, "net").distinct()
-    a = marked.select(*[F.col(c).alias(f"__a_{c}") for c in scope], F.col("net").alias("__a"))
-    b = marked.select(*[F.col(c).alias(f"__b_{c}") for c in scope], F.col("net").alias("__b"))
     rows = measurements.filter(F.col("clearance_mm").isNotNull() & ~F.isnan("clearance_mm"))
-    rows = rows.join(a, [F.col("net_a") == F.col("__a"), *[F.col(c) == F.col(f"__a_{c}") for c in scope]], "left")
-    rows = rows.join(b, [F.col("net_b") == F.col("__b"), *[F.col(c) == F.col(f"__b_{c}") for c in scope]], "left")
+    for side, net, other in (("__a", "net_a", "net_b"), ("__b", "net_b", "net_a")):
+        rows = join_few(rows, marked.withColumn(side, F.col("net")), {**{c: c for c in scope}, net: "net"}, spread=[other, "layer"])
     crossing = rows.filter(F.col("__a").isNull() != F.col("__b").isNull())
     margin = F.col("clearance_mm") - required
     return crossing.select(

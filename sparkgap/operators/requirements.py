@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.zones import ZONE_COUNT, zone_label, zone_number
+from ..tables import join_few
 from ..vocabulary import GROUND_NAMES
 
 DEFAULT_ZONE_V = 1000.0
@@ -98,7 +99,8 @@ def pair_requirements(pairs: DataFrame, assignments: DataFrame, voltages: Mappin
 
     `assignments` has net_name (unique within `scope`), final_voltage_v,
     galvanic_zone and source; both tables have the `scope` columns. Two left joins
-    on the net; a net that most pairs share is split by the engine. Adds zone_a,
+    on the net, broadcast or salted by the number of assignments, so a net that
+    most pairs share makes no hot task. Adds zone_a,
     zone_b, net_a_voltage_v, net_b_voltage_v, local_voltage_v, zone_voltage_v,
     required_voltage_v, requirement_source and warning.
 
@@ -109,19 +111,17 @@ def pair_requirements(pairs: DataFrame, assignments: DataFrame, voltages: Mappin
     """
     if zones_enabled is None:
         zones_enabled = bool(assignments.filter(zone_number(F.col("galvanic_zone")).isNotNull()).limit(1).count())
-    sides = {}
-    for side in ("a", "b"):
-        sides[side] = assignments.select(
-            *[F.col(c).alias(f"__{side}_{c}") for c in scope],
+    joined = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        right = assignments.select(
+            *scope,
+            "net_name",
             F.col("net_name").alias(f"__{side}_net"),
             finite(F.col("final_voltage_v")).alias(f"__{side}_v"),
             zone_number(F.col("galvanic_zone")).alias(f"__{side}_zone"),
             F.coalesce("source", F.lit("")).alias(f"__{side}_source"),
         )
-    joined = pairs
-    for side, right in sides.items():
-        match = [F.col(c) == F.col(f"__{side}_{c}") for c in scope] + [F.col(f"net_{side}") == F.col(f"__{side}_net")]
-        joined = joined.join(right, match, "left")
+        joined = join_few(joined, right, {**{c: c for c in scope}, f"net_{side}": "net_name"}, spread=[f"net_{other}"])
     volts = {s: F.coalesce(F.col(f"__{s}_v"), F.when(ground_like(F.col(f"net_{s}")), 0.0)) for s in ("a", "b")}
     local = F.abs(volts["a"] - volts["b"])
     present = F.col("__a_net").isNotNull() | F.col("__b_net").isNotNull()

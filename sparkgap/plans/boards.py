@@ -25,6 +25,7 @@ from .found import ASSIGNMENT_RULES, JUDGED_LINES
 THRESHOLD_MM = 0.2
 CLOSE_MM = 1.0
 ZONES = req.zone_voltages({"Zone 1": {"Zone 3": 750.0}, "Zone 2": {"Zone 4": 1500.0}})
+LOW_ZONES = req.zone_voltages([[0, 24.0, 750.0], [24.0, 0, 1000.0, 1500.0]])
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -91,7 +92,8 @@ def layer_role_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT measurement_id, CASE WHEN clearance_mm >= 0 AND NOT isnan(clearance_mm) THEN round({sql.effective("d", "0.7 * 1.65", sql.altitude("1000.0"))}, 6) END AS effective_v,
   CASE WHEN clearance_mm >= 0 AND NOT isnan(clearance_mm) THEN round({sql.ipc("clearance_mm", 2)}, 6) END AS ipc_v FROM m""")
 def voltage_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = mea.recomputed_voltages(_measurements(spark, sf_dir), cti=600, pollution=3, altitude_m=1000.0, particle_mm=0.05)
+    """Every layer rated by the role `external`, as an override; `voltage_recompute_by_role` rates each by its own."""
+    new = mea.recomputed_voltages(_measurements(spark, sf_dir), roles="external", cti=600, pollution=3, altitude_m=1000.0, particle_mm=0.05)
     return new.select("measurement_id", F.round("effective_max_voltage_v", 6).alias("effective_v"), F.round("ipc2221a_max_voltage_v", 6).alias("ipc_v"))
 
 
@@ -422,6 +424,55 @@ def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.zone_counts(_assigned(spark, sf_dir), ["project_id"])
 
 
+_ABSENT = "NO SUCH NET"
+
+
+def _assigned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assigned net with the next and the seventh next of its project, with a ground net and with one that has no assignment.
+
+    What a pair's spacing supports is that of the measurement with the row's number.
+    """
+    assigned = _assigned(spark, sf_dir).select("project_id", "net_name", "final_voltage_v", "galvanic_zone", "source", "row_id")
+    beside = Window.partitionBy("project_id").orderBy("net_name")
+    others = F.array_compact(F.array(F.lead("net_name", 1).over(beside), F.lead("net_name", 7).over(beside), F.lit("GND"), F.lit(_ABSENT)))
+    supported = _measurements(spark, sf_dir).groupBy(F.col("measurement_id").alias("row_id")).agg(F.max_by("effective_max_voltage_v", "loaded_at").alias("effective_max_voltage_v"))
+    pairs = assigned.filter("net_name is not null").select("project_id", "row_id", F.col("net_name").alias("net_a"), others.alias("o")).join(supported, "row_id", "left")
+    pairs = pairs.select("project_id", "net_a", F.explode("o").alias("net_b"), "effective_max_voltage_v")
+    return req.with_compliance(req.pair_requirements(pairs, assigned.drop("row_id"), LOW_ZONES, scope=["project_id"], zones_enabled=True))
+
+
+_PAIRED = f"""{sql.LATEST}, s AS (SELECT project_id, net_name, row_id, CASE WHEN isfinite(final_voltage_v) THEN final_voltage_v END AS v, {_zone_sql("galvanic_zone")} AS z, coalesce(source, '') AS src FROM assigned),
+near AS (SELECT *, lead(net_name, 1) OVER w AS n1, lead(net_name, 7) OVER w AS n7 FROM s WINDOW w AS (PARTITION BY project_id ORDER BY net_name)),
+two AS (SELECT project_id, row_id, net_name AS net_a, unnest([n1, n7, 'GND', '{_ABSENT}']) AS net_b FROM near),
+m AS (SELECT measurement_id, arg_max_null(effective_max_voltage_v, loaded_at) AS eff FROM measurements GROUP BY 1),
+p AS (SELECT t.project_id, t.net_a, t.net_b, m.eff, coalesce(a.v, CASE WHEN {_ground_sql("t.net_a")} THEN 0.0 END) AS va, coalesce(b.v, CASE WHEN {_ground_sql("t.net_b")} THEN 0.0 END) AS vb,
+  a.z AS za, b.z AS zb, a.src AS sa, b.src AS sb FROM two t JOIN s a ON a.project_id = t.project_id AND a.net_name = t.net_a
+  LEFT JOIN s b ON b.project_id = t.project_id AND b.net_name = t.net_b LEFT JOIN m ON m.measurement_id = t.row_id WHERE t.net_b IS NOT NULL),
+q AS (SELECT *, abs(va - vb) AS local_v, CASE WHEN za <> zb THEN CASE WHEN (least(za, zb), greatest(za, zb)) = (1, 2) THEN 24.0 WHEN (least(za, zb), greatest(za, zb)) = (1, 3) THEN 750.0 WHEN (least(za, zb), greatest(za, zb)) = (2, 4) THEN 1500.0 ELSE 1000.0 END END AS zone_v FROM p),
+r AS (SELECT *, coalesce(zone_v, local_v) AS req, CASE WHEN isfinite(eff) THEN eff END - coalesce(zone_v, local_v) AS margin,
+  CASE WHEN zone_v IS NOT NULL THEN 'galvanic_zone' WHEN local_v IS NULL THEN 'unknown' WHEN 'manual' IN (sa, coalesce(sb, '')) THEN 'manual_override' WHEN 'rule' IN (sa, coalesce(sb, '')) THEN 'rule_guess' ELSE 'net_class' END AS src,
+  CASE WHEN zone_v IS NOT NULL THEN '' ELSE concat_ws(' ', CASE WHEN za IS NULL OR zb IS NULL THEN 'Zone assignment incomplete; result uses local net voltage only.' END,
+    CASE WHEN local_v IS NULL THEN 'Local net voltage unknown; review assignments.' END) END AS warning FROM q)"""
+
+
+@query(f"""WITH {_PAIRED} SELECT project_id, net_a, net_b, coalesce('Zone ' || za, '') AS zone_a, coalesce('Zone ' || zb, '') AS zone_b, va AS net_a_voltage_v, vb AS net_b_voltage_v, local_v AS local_voltage_v,
+  CAST(zone_v AS DOUBLE) AS zone_voltage_v, req AS required_voltage_v, src AS requirement_source, warning, margin AS voltage_margin_v, CASE WHEN margin >= 0 THEN 'OK' WHEN margin < 0 THEN 'NOK' ELSE 'UNKNOWN' END AS standard_voltage_status FROM r""")
+def assigned_pair_requirement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned_pairs(spark, sf_dir).drop("effective_max_voltage_v")
+
+
+@query(f"""WITH {_PAIRED} SELECT count(zone_v) AS cross_zone_pairs, count(*) FILTER (WHERE zone_v IS NOT NULL AND margin >= 0) AS cross_zone_pass, count(*) FILTER (WHERE zone_v IS NOT NULL AND margin < 0) AS cross_zone_fail,
+  count(*) FILTER (WHERE zone_v IS NOT NULL AND margin IS NULL) AS cross_zone_unknown, count(*) FILTER (WHERE zone_v IS NULL) AS local_voltage_pairs, count(*) FILTER (WHERE za IS NULL OR zb IS NULL) AS incomplete_zone_pairs,
+  count(*) FILTER (WHERE zone_v IS NULL AND local_v IS NULL) AS unknown_voltage_pairs FROM r""")
+def assigned_hierarchy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return req.requirement_summary(_assigned_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRED} SELECT project_id, net_a, net_b, CAST(zone_v AS DOUBLE) AS required_voltage_v, coalesce(margin >= 0, false) AS passed FROM r WHERE zone_v IS NOT NULL")
+def assigned_zone_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return req.zone_spacing(_assigned_pairs(spark, sf_dir)).select("project_id", "net_a", "net_b", "required_voltage_v", "passed")
+
+
 # ---------------------------------------------------------------- assignments
 
 _OPEN = "(review_state IN ('Needs review', 'Conflict', 'Auto-guessed') OR (severity IN ('Warning', 'Critical') AND coalesce(review_state, '') NOT IN ('Approved', 'Reviewed', 'Accepted unknown', 'Waived')))"

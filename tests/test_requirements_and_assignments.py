@@ -51,3 +51,19 @@ def test_reviews_differences_merges_and_replay(spark):
 def test_validity(spark, column, bad):
     good = {"final_class": "GND", "confidence": "High", "severity": "Info", "review_state": "Approved"} | {column: bad}
     assert spark.createDataFrame([tuple(good.values())], ", ".join(f"{c} string" for c in good)).select(asg.validity_problem().alias("p")).first().p == column
+
+
+def test_pairs_of_the_tables_meet_their_assignments(spark):
+    """Every source and status occurs, so the SQL's agreement means something."""
+    import os
+
+    import pytest
+
+    from sparkgap.plans.boards import assigned_pair_requirement
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    seen = assigned_pair_requirement(spark, folder).select("requirement_source", "standard_voltage_status").distinct().collect()
+    assert {r[0] for r in seen} == {"galvanic_zone", "manual_override", "rule_guess", "net_class", "unknown"}
+    assert {r[1] for r in seen} == {"OK", "NOK", "UNKNOWN"} == {r[1] for r in seen if r[0] == "galvanic_zone"}
