@@ -106,10 +106,11 @@ def edits(a: Column, b: Column) -> Column:
 
 def close_texts(typed: DataFrame, words: DataFrame) -> DataFrame:
     """(kind, typed, word, edits) of distinct texts within the distance allowed for the word."""
+    tasks = 2 * typed.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work for each
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    left = typed.select("kind", "typed").filter(F.length("typed") <= longest + 2).distinct().select("kind", "typed", F.explode(deletions(F.col("typed"), 4)).alias("__part"))
+    few = typed.select("kind", "typed").filter(F.length("typed") <= longest + 2).repartition(tasks, "kind", "typed").distinct()
+    left = few.select("kind", "typed", F.explode(deletions(F.col("typed"), 4)).alias("__part"))
     right = words.select("kind", "word").distinct().select("kind", "word", F.explode(deletions(F.col("word"), 6)).alias("__part"))
-    tasks = 2 * typed.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work for each
     met = left.join(right, ["kind", "__part"]).select("kind", "typed", "word").repartition(tasks, "kind", "typed", "word").distinct()
     return met.withColumn("edits", edits(F.col("typed"), F.col("word"))).filter(F.col("edits") <= allowed_edits(F.length("word")))
 
