@@ -111,8 +111,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     write_profile(settings, os.path.join(folder, "analysis_settings.json"))
     gate = asg.review_counts(assigned).first()
     tables = {"measurements": required, "assignments": assigned.drop("all_matched_rule_ids"), "zone_spacing": req.zone_spacing(required)}
-    with_places = measured.withColumns({c: F.lit(None).cast("double") for c in ("x_a_mm", "y_a_mm", "x_b_mm", "y_b_mm")})
-    tables["per_net_minimum"] = mea.per_net_minimum(with_places, ["job_id"])
+    tables["per_net_minimum"] = mea.per_net_minimum(measured, ["job_id"])
     reports.write_reports(tables, folder, threshold_mm=threshold, facts={"nets to review": gate.needs_review, "open critical": gate.unreviewed_critical})
     print(folder)
     return 2 if args.gate == "block" and gate.unreviewed_critical else code

@@ -104,3 +104,53 @@ def distance(a: Column, b: Column) -> Column:
     points = [_to_box(x, y, b) for x, y in _corners(a)] + [_to_box(x, y, a) for x, y in _corners(b)]
     apart = F.least(*points) - a["r"] - b["r"]
     return F.when(boxes_meet(a, b), 0.0).otherwise(F.greatest(F.lit(0.0), apart))
+
+
+def _onto_box(x: Column, y: Column, b: Column) -> tuple[Column, Column]:
+    """The point of a box that is nearest to a point."""
+    dx, dy = x - b["cx"], y - b["cy"]
+    u = F.greatest(-b["hx"], F.least(b["hx"], dx * b["c"] + dy * b["s"]))
+    v = F.greatest(-b["hy"], F.least(b["hy"], dy * b["c"] - dx * b["s"]))
+    return b["cx"] + u * b["c"] - v * b["s"], b["cy"] + u * b["s"] + v * b["c"]
+
+
+POINTS = ("x_a_mm", "y_a_mm", "x_b_mm", "y_b_mm")
+
+
+def with_nearest_points(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """`pairs` with x_a_mm, y_a_mm, x_b_mm, y_b_mm: where the rounded boxes in columns `a` and `b` are nearest to each other.
+
+    Where the boxes within them touch, a corner of one that lies in the other, or
+    else the point where their long axes cross, stands for both.
+    """
+    place = lambda *xy: F.struct(*[c.alias(n) for c, n in zip(xy, POINTS)])
+    corners = lambda shape: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in _corners(shape)])
+    df = settle(pairs, __ca=corners(F.col(a)), __cb=corners(F.col(b)))
+
+    def onto(corner: Column, shape: Column, own: bool) -> Column:
+        px, py = _onto_box(corner["x"], corner["y"], shape)
+        return F.struct(px.alias("px"), py.alias("py"), corner["x"].alias("x"), corner["y"].alias("y"), F.lit(own).alias("own"))
+
+    near = [onto(F.col(c)[k], F.col(shape), own) for c, shape, own in (("__ca", b, True), ("__cb", a, False)) for k in range(4)]
+    df = settle(df, __near=F.array(*near))
+    ranked = F.transform("__near", lambda n: F.struct((F.pow(n["px"] - n["x"], 2) + F.pow(n["py"] - n["y"], 2)).alias("d"), n.alias("n")))
+    df = settle(df, __best=F.array_min(ranked), __meet=boxes_meet(F.col(a), F.col(b)))
+    n = F.col("__best.n")
+    of_a = lambda own, other: F.when(n["own"], own).otherwise(other)
+    df = settle(df, __gap=F.sqrt("__best.d"), __p=place(of_a(n["x"], n["px"]), of_a(n["y"], n["py"]), of_a(n["px"], n["x"]), of_a(n["py"], n["y"])))
+    p, q, gap = F.col(a), F.col(b), F.col("__gap")
+    turn = p["c"] * q["s"] - p["s"] * q["c"]
+    along = ((q["cx"] - p["cx"]) * q["s"] - (q["cy"] - p["cy"]) * q["c"]) / F.nullif(turn, F.lit(0.0))
+    some = F.nullif(gap, F.lit(0.0))
+    # the rounding brings the points nearer to each other, at most until they meet
+    part = F.when(gap > 0, F.least(F.lit(1.0), F.coalesce(gap / F.nullif(p["r"] + q["r"], F.lit(0.0)), F.lit(1.0)))).otherwise(0.0)
+    zero = F.lit(0.0)
+    df = settle(df, __along=along, __part=part, __ux=F.coalesce((F.col("__p.x_b_mm") - F.col("__p.x_a_mm")) / some, zero), __uy=F.coalesce((F.col("__p.y_b_mm") - F.col("__p.y_a_mm")) / some, zero))
+    crosses = F.col("__meet") & (gap > 0) & F.col("__along").isNotNull()
+    cx, cy = p["cx"] + F.col("__along") * p["c"], p["cy"] + F.col("__along") * p["s"]
+    step = lambda r, axis: F.col(axis) * r * F.col("__part")
+    moved = place(
+        F.col("__p.x_a_mm") + step(p["r"], "__ux"), F.col("__p.y_a_mm") + step(p["r"], "__uy"), F.col("__p.x_b_mm") - step(q["r"], "__ux"), F.col("__p.y_b_mm") - step(q["r"], "__uy")
+    )
+    df = settle(df, __at=F.when(crosses, place(cx, cy, cx, cy)).otherwise(moved))
+    return df.select(*pairs.columns, "__at.*")

@@ -146,9 +146,13 @@ def match_revisions(old: DataFrame, new: DataFrame, pack: RulePack, *, scope: Se
 
     first = lists.mapInPandas(matched, f"{scope_types}{', ' if s else ''}old_net string, new_net string, status string, detail string")
     first = cut_lineage(first)
-    left_old = cut_lineage(_features(first.filter("status = 'left'").select(*s, F.col("old_net").alias("net")), pack))
-    left_new = cut_lineage(_features(first.filter("status = 'unmatched'").select(*s, F.col("new_net").alias("net")), pack))
-    candidates = rename_candidates(left_old, left_new, s)
+    left = first.filter("status in ('left', 'unmatched')").select(*s, F.coalesce("old_net", "new_net").alias("net"), (F.col("status") == "left").alias("was"))
+    left = cut_lineage(_features(left, pack))  # both sides in one pass
+    candidates = rename_candidates(left.filter("was").drop("was"), left.filter("not was").drop("was"), s)
+    # names can't be more alike than their lengths allow; the rest of the score is cheap
+    longest = 2 * F.least(F.length("old_normal"), F.length("new_normal")) / F.greatest(F.length("old_normal") + F.length("new_normal"), F.lit(1))
+    at_most = match_score(longest, F.col("old_words"), F.col("new_words"), F.col("old_v"), F.col("new_v"), F.col("old_class") == F.col("new_class"))
+    candidates = candidates.filter(at_most >= least_score)
     score = match_score(_likeness(F.col("old_normal"), F.col("new_normal")), F.col("old_words"), F.col("new_words"), F.col("old_v"), F.col("new_v"), F.col("old_class") == F.col("new_class"))
     rank = Window.partitionBy(*s, "new_net").orderBy(F.col("match_score").desc(), "old_net")
     renamed = candidates.withColumn("match_score", score).filter(F.col("match_score") >= least_score).withColumn("__n", F.row_number().over(rank)).filter(F.col("__n") <= SUGGESTED)

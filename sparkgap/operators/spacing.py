@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..geometry.shapes import bounds, distance
+from ..geometry.shapes import bounds, distance, with_nearest_points
 from ..tables import settle
 from ..vocabulary import NO_NET
 
@@ -24,9 +24,11 @@ def copper(features: DataFrame, *, include_no_net: bool = False) -> DataFrame:
     return rows if include_no_net else rows.filter(F.col("net_name") != NO_NET)
 
 
-def close_net_pairs(shapes: DataFrame, threshold_mm: float, scope: Sequence[str], *, cell_mm: float = CELL_MM) -> DataFrame:
+def close_net_pairs(shapes: DataFrame, threshold_mm: float, scope: Sequence[str], *, cell_mm: float = CELL_MM, points: bool = False) -> DataFrame:
     """(scope, net_a, net_b, clearance_mm) of all net pairs nearer than the threshold; net_a < net_b.
 
+    With `points` also x_a_mm, y_a_mm, x_b_mm, y_b_mm, where the nets are nearest.
+
     Every shape is entered in the grid cells that its bounds, widened by half the
     threshold, touch; only shapes of one cell meet, and a pair that shares several
     cells is kept in the one that holds the lower left corner of the overlap of
@@ -44,7 +46,11 @@ def close_net_pairs(shapes: DataFrame, threshold_mm: float, scope: Sequence[str]
     met = a.join(b, [*scope, "gx", "gy"]).filter("a_net < b_net and a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1")
     corner = (F.floor(F.greatest("a_x0", "b_x0") / cell_mm) == F.col("gx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell_mm) == F.col("gy"))
     apart = settle(met.filter(corner), clearance_mm=distance(F.col("a_shape"), F.col("b_shape"))).filter(F.col("clearance_mm") < threshold_mm)
-    return apart.groupBy(*scope, F.col("a_net").alias("net_a"), F.col("b_net").alias("net_b")).agg(F.min("clearance_mm").alias("clearance_mm"))
+    pairs = apart.groupBy(*scope, F.col("a_net").alias("net_a"), F.col("b_net").alias("net_b"))
+    if not points:
+        return pairs.agg(F.min("clearance_mm").alias("clearance_mm"))
+    least = pairs.agg(F.min(F.struct("clearance_mm", "a_shape", "b_shape")).alias("m")).select(*scope, "net_a", "net_b", "m.*")
+    return with_nearest_points(least, "a_shape", "b_shape").drop("a_shape", "b_shape")
 
 
 def all_net_pairs(shapes: DataFrame, scope: Sequence[str]) -> DataFrame:

@@ -68,3 +68,43 @@ def test_rounded_box_ring():
     square = Polygon(0, True, [(False, xs, ys)])
     assert square.covers(np.array([[0.79, 0.0], [0.8, 0.8], [0.6, 0.6]])).tolist() == [True, False, True]
     assert F is not None
+
+
+def test_enclosed_islands_are_found_beside_others(spark):
+    """A short within the host's copper counts, though another pad of the guest lies free in the same cell."""
+    host, inner, outer = box(0, "HOST", 0, 0, 0.8, 0.8), box(1, "GUEST", 0.3, 0.3, 0.5, 0.5), box(2, "GUEST", 0.95, 0, 1.1, 0.8)
+    assert found(spark, [host, outer]) == {("GUEST", "HOST"): 0.15}
+    assert found(spark, [host, inner, outer]) == {("GUEST", "HOST"): 0.0}
+
+
+def test_cells_don_t_change_the_edges():
+    rnd = random.Random(4)
+    polygons = []
+    for k in range(25):
+        x0, y0 = rnd.uniform(-12, 12), rnd.uniform(-12, 12)
+        if k % 3:
+            xs, ys = rounded_box_ring(x0, y0, rnd.uniform(0, 4), rnd.uniform(0, 2), np.cos(k), np.sin(k), rnd.uniform(0.1, 1))
+        else:
+            xs, ys = [x0, x0 + 5, x0 + 5, x0], [y0, y0, y0 + 5, y0 + 5]
+        polygons.append(Polygon(k, rnd.random() < 0.7, [(False, xs, ys)]))
+    length = lambda e: np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]).sum()
+    whole = length(surviving_edges(polygons))
+    for size in (2.5, 5.0, 40.0):
+        cells = [surviving_edges(polygons, (x, y, x + size, y + size)) for x in np.arange(-40, 40, size) for y in np.arange(-40, 40, size)]
+        assert abs(sum(map(length, cells)) - whole) < 1e-6
+
+
+def test_nearest_points_are_as_far_apart_as_the_nets(spark):
+    rnd = random.Random(13)
+    rows = [("j", "L", k, "P", "P", rnd.choice(["r400", "rect800x300", "oval1200x400"]), f"N{k % 12}", rnd.uniform(0, 9), rnd.uniform(0, 9), None, None, rnd.choice([0.0, 30.0]), None) for k in range(30)]
+    rows += [box(30, "BIG", 20, 0, 26, 6), box(31, "IN", 21, 1, 22, 2), box(32, "LEFT", 18.5, 1, 19.5, 2)]
+    df = with_shapes(spark.createDataFrame(rows, SCHEMA))
+    some = composited_pairs(df, 1.5, ["job_id", "layer"]).collect()
+    every = {(r.net_a, r.net_b): r for r in composited_pairs(df, None, ["job_id", "layer"]).collect()}
+    assert len(every) == 15 * 14 // 2 and some
+    for r in [*some, *every.values()]:
+        assert abs(np.hypot(r.x_a_mm - r.x_b_mm, r.y_a_mm - r.y_b_mm) - r.clearance_mm) < 1e-6
+    assert all(abs(every[r.net_a, r.net_b].clearance_mm - r.clearance_mm) < 1e-9 for r in some)
+    assert every["BIG", "IN"].clearance_mm == 0 and (every["BIG", "LEFT"].x_a_mm, every["BIG", "LEFT"].x_b_mm) == (20.0, 19.5)
+    shapes = close_net_pairs(copper(df), 1.5, ["job_id", "layer"], points=True).collect()
+    assert shapes and all(abs(np.hypot(r.x_a_mm - r.x_b_mm, r.y_a_mm - r.y_b_mm) - r.clearance_mm) < 1e-6 for r in shapes)
