@@ -30,9 +30,10 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s\-]+", "_")
 
 
-def document_hash(doc_id: Column) -> Column:
-    """60 bits of a hash of the id, as a number of at least 0."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - BITS * LEVELS)
+def document_hash(doc_id: Column, tokens: Column | None = None) -> Column:
+    """60 bits of a hash of the id (of the size for documents without one), as a number of at least 0."""
+    own = F.xxhash64(doc_id) if tokens is None else F.xxhash64(doc_id, F.when(doc_id.isNull(), tokens))
+    return F.shiftrightunsigned(own, 64 - BITS * LEVELS)
 
 
 @dataclass
@@ -56,12 +57,14 @@ class Quota:
         return out.cast("int")
 
 
-def find_quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, Quota]:
-    """The largest mix with the target shares that repeats no source more than allowed."""
+def find_quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: int | None = None) -> dict[str, Quota]:
+    """The largest mix (of at most `total_tokens`) with the target shares that repeats no source more than allowed."""
     usable = {s: (share, repeats) for s, (share, repeats) in targets.items() if share > 0 and repeats > 0 and totals.get(s, 0) > 0}
     if not usable:
         return {}
     size = min(repeats * totals[s] / share for s, (share, repeats) in usable.items())
+    if total_tokens is not None:
+        size = min(size, total_tokens / sum(share for share, _ in usable.values()))
     out = {}
     for s, (share, repeats) in usable.items():
         budget = share * size
@@ -109,12 +112,14 @@ def find_thresholds(sizes: DataFrame, quotas: dict[str, Quota]) -> None:
             low[s] = high[s] + 1 if s in open_ else high[s]
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, copy_no, n_tokens) and the report per target source.
 
     `documents` has doc_id, source and n_tokens; `targets` source, target_share and
-    max_repeats (few rows, checked). The report has target_share, actual_share,
-    n_tokens, n_documents and copies of the most repeated document. Documents of
+    max_repeats (few rows, checked). The mix is as large as the repeats allow, or
+    `total_tokens` if that is less. The report has target_share, actual_share,
+    n_tokens, n_documents, copies of the most repeated document, the source's
+    budget and what of it no document filled (`unfilled_tokens`). Documents of
     other or no source, or without tokens, are not used. A target source without
     tokens gets nothing and the others keep their proportions. Repeated targets
     add up; null shares and repeats are 0.
@@ -125,10 +130,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
     if len(listed) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     goal = {r["source"]: (r["share"], r["repeats"]) for r in listed}
-    sizes = documents.select("doc_id", name.alias("source"), "n_tokens", document_hash(F.col("doc_id")).alias("h")).filter("n_tokens > 0")
+    sizes = documents.select("doc_id", name.alias("source"), "n_tokens", document_hash(F.col("doc_id"), F.col("n_tokens")).alias("h")).filter("n_tokens > 0")
     sizes = cut_lineage(sizes.filter(F.col("source").isin(*goal)) if goal else sizes.filter("false"))
     totals = {r["source"]: r["t"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    quotas = find_quotas(totals, goal)
+    quotas = find_quotas(totals, goal, total_tokens)
     find_thresholds(sizes, quotas)
     copies = F.lit(0)
     for s, q in quotas.items():
@@ -136,9 +141,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
     chosen = sizes.withColumn("copies", copies).filter("copies > 0")
     mix = chosen.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "n_tokens")
     spark = documents.sparkSession
-    goals = spark.createDataFrame([(s, float(a), int(b)) for s, (a, b) in goal.items()], "source string, target_share double, max_repeats int")
+    budgets = [(s, float(a), int(b), int(quotas[s].budget) if s in quotas else 0) for s, (a, b) in goal.items()]
+    goals = spark.createDataFrame(budgets, "source string, target_share double, max_repeats int, budget_tokens bigint")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
     got = goals.join(got, "source", "left").fillna(0, ["n_tokens", "n_documents", "most_copies"])
     everything = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # a row per target source
     report = got.withColumn("actual_share", F.coalesce(F.col("n_tokens") / F.nullif(everything, F.lit(0)), F.lit(0.0)))
-    return mix, report
+    return mix, report.withColumn("unfilled_tokens", F.col("budget_tokens") - F.col("n_tokens"))

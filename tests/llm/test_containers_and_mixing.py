@@ -111,3 +111,13 @@ def test_report_counts_what_is_beyond_the_fewest(spark):
     packed = pack_documents(spark.createDataFrame([(k, 1500) for k in range(10)], "doc_id bigint, n_tokens bigint"))
     r = packing_report(packed).first()
     assert (r.n_containers, r.fewest, r.beyond_fewest) == (10, 8, 2)
+
+
+def test_a_total_and_documents_without_ids(spark):
+    rows = [(None, "a", 10 + k % 7) for k in range(300)] + [(k, "b", 20) for k in range(300)]
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 1)], "source string, target_share double, max_repeats int")
+    mix, report = mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint"), targets, total_tokens=4000)
+    got = {r.source: r for r in report.collect()}
+    assert mix.agg({"n_tokens": "sum"}).first()[0] == sum(r.n_tokens for r in got.values()) <= 4000
+    assert got["b"].n_tokens == 3000 == got["b"].budget_tokens and got["b"].unfilled_tokens == 0
+    assert 0 <= got["a"].unfilled_tokens == 1000 - got["a"].n_tokens and got["a"].n_tokens > 0
