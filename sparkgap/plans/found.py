@@ -104,6 +104,7 @@ ORACLES = {
     "p3_found": found_sql.P3_FOUND,
     "p3_widths": found_sql.P3_WIDTHS,
     "p4_found": found_sql.P4_FOUND,
+    "p6_found": found_sql.P6_FOUND,
     "p1_found": f"{JUDGED_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_assignments": f"{JUDGED_LINES} SELECT line_id, file_name, line_no, {_VALUES} FROM judged WHERE reason IS NULL",
     # names of printable ASCII and full-width ASCII have the same normal form under this mapping

@@ -80,3 +80,52 @@ WITH fields AS (
 )
 SELECT DISTINCT src, row_id, CAST(unnest(generate_series(1, len(items))) AS INTEGER) AS pos, unnest(items) AS item FROM restored WHERE len(items) > 0
 """
+
+
+# ---------------------------------------------------------------- drift of fields
+
+# contents are compared under several spellings; a rename is where two fields are each other's best partner and agree for most nets
+P6_FOUND = r"""
+WITH once AS (
+  SELECT DISTINCT project_id, file_no, payload FROM store_rows WHERE project_id IS NOT NULL AND file_no IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'
+), entries AS (
+  SELECT o.project_id, o.file_no, trim(regexp_replace(translate(upper(json_extract_string(payload, '$.net_name')), '-+. /', '_____'), '_+', '_', 'g'), '_') AS net,
+    e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind,
+    CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE CAST(e.value AS VARCHAR) END AS raw
+  FROM once o, json_each(o.payload) e
+), kinds AS (
+  SELECT project_id, file_no, field, kind, count(*) AS n FROM entries GROUP BY ALL
+), fields AS (
+  SELECT project_id, file_no, field, arg_max(kind, (CASE WHEN kind IS NULL THEN 0 ELSE 1 END, n, kind)) AS kind FROM kinds GROUP BY ALL
+), pairs AS (
+  SELECT * FROM (SELECT project_id, file_no AS a, lead(file_no) OVER (PARTITION BY project_id ORDER BY file_no) AS b FROM (SELECT DISTINCT project_id, file_no FROM store_rows WHERE project_id IS NOT NULL AND file_no IS NOT NULL))
+  WHERE b IS NOT NULL
+), gone AS (
+  SELECT p.project_id, p.a, p.b, f.field, f.kind FROM pairs p JOIN fields f ON f.project_id = p.project_id AND f.file_no = p.a
+  WHERE NOT EXISTS (SELECT 1 FROM fields g WHERE g.project_id = p.project_id AND g.file_no = p.b AND g.field = f.field)
+), come AS (
+  SELECT p.project_id, p.a, p.b, f.field, f.kind FROM pairs p JOIN fields f ON f.project_id = p.project_id AND f.file_no = p.b
+  WHERE NOT EXISTS (SELECT 1 FROM fields g WHERE g.project_id = p.project_id AND g.file_no = p.a AND g.field = f.field)
+), spelled AS (
+  SELECT project_id, file_no, net, field, list_distinct([
+    CASE WHEN TRY_CAST(trim(raw) AS DOUBLE) IS NOT NULL THEN CAST(TRY_CAST(trim(raw) AS DOUBLE) AS VARCHAR) WHEN lower(trim(raw)) IN ('true', 'yes') THEN 'true' WHEN lower(trim(raw)) IN ('false', 'no') THEN 'false'
+      WHEN starts_with(trim(raw), '{') AND json_valid(raw) THEN list_aggregate(list_sort(list_transform(json_keys(raw), lambda k: k || '=' || json_extract_string(raw, '$."' || k || '"'))), 'string_agg', '&')
+      ELSE regexp_replace(regexp_replace(trim(raw), '^\[|\]$|"', '', 'g'), '\s*[;,|]\s*', ';', 'g') END,
+    CAST(TRY_CAST(nullif(regexp_extract(lower(trim(raw)), '^(?:galvanic[ _-]*)?zone[ _-]*(\d+)$', 1), '') AS DOUBLE) AS VARCHAR)]) AS contents
+  FROM entries WHERE raw IS NOT NULL AND kind IS NOT NULL AND net IS NOT NULL
+), agree AS (
+  SELECT g.project_id, g.a, g.b, g.field AS old_field, c.field AS new_field, x.net, max(CAST(list_has_any(list_filter(x.contents, lambda v: v IS NOT NULL), y.contents) AS INTEGER)) AS same
+  FROM gone g JOIN come c ON g.project_id = c.project_id AND g.a = c.a
+  JOIN spelled x ON x.project_id = g.project_id AND x.file_no = g.a AND x.field = g.field JOIN spelled y ON y.project_id = c.project_id AND y.file_no = c.b AND y.field = c.field AND y.net = x.net
+  GROUP BY ALL
+), shares AS (
+  SELECT project_id, a, b, old_field, new_field, avg(same) AS share FROM agree GROUP BY ALL HAVING avg(same) >= 0.6
+), renamed AS (
+  SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY project_id, a, old_field ORDER BY share DESC, new_field) = 1 AND row_number() OVER (PARTITION BY project_id, a, new_field ORDER BY share DESC, old_field) = 1
+)
+SELECT project_id, a AS from_file, b AS to_file, 'renamed' AS change_kind, old_field, new_field FROM renamed
+UNION ALL SELECT g.project_id, g.a, g.b, 'removed', g.field, '' FROM gone g LEFT JOIN renamed r ON r.project_id = g.project_id AND r.a = g.a AND r.old_field = g.field WHERE r.a IS NULL
+UNION ALL SELECT c.project_id, c.a, c.b, 'added', '', c.field FROM come c LEFT JOIN renamed r ON r.project_id = c.project_id AND r.a = c.a AND r.new_field = c.field WHERE r.a IS NULL
+UNION ALL SELECT p.project_id, p.a, p.b, 'retyped', f.field, g.field FROM pairs p JOIN fields f ON f.project_id = p.project_id AND f.file_no = p.a JOIN fields g ON g.project_id = p.project_id AND g.file_no = p.b
+  LEFT JOIN renamed r ON r.project_id = p.project_id AND r.a = p.a AND r.old_field = f.field AND r.new_field = g.field WHERE (f.field = g.field OR r.a IS NOT NULL) AND f.kind <> g.kind
+"""

@@ -1,10 +1,20 @@
-"""SQL fragments for the comparison queries, written out from the engine's fixed tables."""
+"""SQL fragments for the comparison queries; the curves stand here once more, so that a wrong point of the engine's shows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from ..functions.estimators import ALTITUDE_POINTS, CLEARANCE_POINTS, CREEPAGE_POINTS, IPC_RANGES, IPC_SLOPES
+# Mm and volts of the clearance and creepage curves, metres and factor, volts and mm of the spacing ranges.
+CLEARANCE_POINTS = ((0.05, 10.0), (0.10, 20.0), (0.20, 30.0), (0.40, 60.0), (0.60, 100.0), (0.80, 150.0), (1.50, 250.0), (3.00, 400.0), (5.50, 600.0), (8.00, 1000.0))
+CREEPAGE_POINTS = (
+    (0.20, 10.0), (0.40, 25.0), (0.85, 50.0), (1.50, 100.0), (2.00, 150.0), (3.20, 250.0), (6.30, 400.0), (8.00, 500.0), (10.00, 630.0), (12.50, 800.0), (16.00, 1000.0),
+)
+ALTITUDE_POINTS = ((0.0, 1.00), (2000.0, 1.00), (3000.0, 1.14), (4000.0, 1.29), (5000.0, 1.48), (6000.0, 1.70), (7000.0, 1.95), (8000.0, 2.25), (10000.0, 2.90))
+IPC_RANGES = (
+    (15.0, 0.05, 0.10, 0.10), (30.0, 0.05, 0.10, 0.10), (50.0, 0.10, 0.60, 0.60), (100.0, 0.10, 0.60, 1.50), (150.0, 0.20, 0.60, 3.20), (170.0, 0.20, 1.25, 3.20),
+    (250.0, 0.20, 1.25, 6.40), (300.0, 0.20, 1.25, 12.50), (500.0, 0.25, 2.50, 12.50),
+)
+IPC_SLOPES = (0.0025, 0.005, 0.025)
 
 
 def _values(points: Sequence[Sequence[object]]) -> str:
