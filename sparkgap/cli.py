@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.layers import layer_key
-from .geometry.compositing import composited_pairs
+from .geometry.air_gap import effective_gaps
+from .geometry.compositing import composited_pairs, net_polygons
 from .geometry.shapes import with_shapes
 from .operators import assignments as asg
 from .operators import measurements as mea
 from .operators import requirements as req
 from .operators import rules as rul
 from .operators.revision_match import match_revisions
+from .operators.vias import via_pads
+from .session import cut_lineage
 from .settings import Settings, read_profile, write_profile
 from .sinks import reports
 from .sources import assignment_files, board_archive
@@ -35,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--profile", help="settings profile to start from")
     p.add_argument("--within-mm", type=float, help="measure only pairs below this distance (default: every pair of nets of a layer)")
     p.add_argument("--threshold-mm", type=float)
+    p.add_argument("--effective-gap", action="store_true", help="also report how much of the line between each pair is free of other copper")
     p.add_argument("--rules", help="folder of a rule pack instead of the built-in one")
     p.add_argument("--local-rules", help="folder of a project's own rules")
     p.add_argument("--import-assignments", help="assignments of an older revision, JSON or CSV")
@@ -48,17 +52,35 @@ def stack_roles(layers: DataFrame) -> DataFrame:
     return mea.layer_roles(stack, "job_id", "layer", "ordinal")
 
 
+def copper_and_vias(features: DataFrame, layers: DataFrame, settings: Settings) -> DataFrame:
+    """Features of the copper layers with shapes, and the pads of plated vias on every layer they join."""
+    placed = with_shapes(features.withColumn("layer", layer_key(F.col("layer"))))
+    copper = layers.filter(F.col("ordinal").isNotNull()).select("job_id", layer_key(F.col("layer")).alias("layer")).distinct()
+    drilled = placed.join(copper, ["job_id", "layer"], "left_anti")
+    both = placed.join(copper, ["job_id", "layer"], "left_semi").unionByName(via_pads(drilled, layers))
+    return both.filter(F.col("layer").isin(*[name.strip().upper() for name in settings.layers])) if settings.layers else both
+
+
 def measure(features: DataFrame, layers: DataFrame, settings: Settings, within_mm: float | None) -> DataFrame:
     """Measured pairs of boards with both voltages; without `within_mm` every pair of nets of a layer."""
-    placed = with_shapes(features.withColumn("layer", layer_key(F.col("layer"))))
-    if settings.layers:
-        placed = placed.filter(F.col("layer").isin(*[name.strip().upper() for name in settings.layers]))
-    pairs = composited_pairs(placed, within_mm, ["job_id", "layer"], include_no_net=settings.include_none_net)
+    pairs = composited_pairs(copper_and_vias(features, layers, settings), within_mm, ["job_id", "layer"], include_no_net=settings.include_none_net)
+    return with_voltages(pairs, layers, settings)
+
+
+def with_voltages(pairs: DataFrame, layers: DataFrame, settings: Settings) -> DataFrame:
     return mea.recomputed_voltages(
         pairs, roles=stack_roles(layers), cti=settings.cti, pollution=settings.pollution_degree, altitude_m=settings.altitude_m, particle_mm=settings.metallic_particle_size_mm, coated=settings.external_conformal_coating
     )
 
 
+def air_gaps(features: DataFrame, layers: DataFrame, settings: Settings, measured: DataFrame) -> DataFrame:
+    """The effective air gap of every measured pair, with both voltages by that gap."""
+    scope = ["job_id", "layer"]
+    nets = cut_lineage(net_polygons(copper_and_vias(features, layers, settings), scope, include_no_net=settings.include_none_net))
+    gaps = effective_gaps(measured, nets, scope).withColumn("clearance_mm", F.col("effective_air_gap_mm"))
+    return with_voltages(gaps, layers, settings).drop("clearance_mm", "layer_role")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     pack = rul.read_pack(args.rules) if args.rules else rul.builtin_pack()
@@ -111,6 +133,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     write_profile(settings, os.path.join(folder, "analysis_settings.json"))
     gate = asg.review_counts(assigned).first()
     tables = {"measurements": required, "assignments": assigned.drop("all_matched_rule_ids"), "zone_spacing": req.zone_spacing(required)}
+    if args.effective_gap:
+        tables["effective_gaps"] = air_gaps(features, layers, settings, measured)
     tables["per_net_minimum"] = mea.per_net_minimum(measured, ["job_id"])
     reports.write_reports(tables, folder, threshold_mm=threshold, facts={"nets to review": gate.needs_review, "open critical": gate.unreviewed_critical})
     print(folder)
