@@ -13,6 +13,7 @@ from ..tables import join_few
 from ..vocabulary import GROUND_NAMES
 
 DEFAULT_ZONE_V = 1000.0
+# Warnings that callers compare.
 INCOMPLETE = "Zone assignment incomplete; result uses local net voltage only."
 UNKNOWN_VOLTAGE = "Local net voltage unknown; review assignments."
 LABELS = tuple(f"Zone {k}" for k in range(1, ZONE_COUNT + 1))

@@ -32,6 +32,11 @@ W_LIKENESS, W_WORDS, W_VOLTAGE, W_CLASS, W_PARTS = 0.40, 0.20, 0.15, 0.15, 0.10
 LEAST_SCORE, SCORED, SUGGESTED = 60, 20, 3
 COMMON_WORD = 500  # old nets of a scope that hold it
 
+# Details of the result table, which callers compare.
+BY_CASE, BY_NORMAL = "case-insensitively", "after normalization"
+SEVERAL, AWAITING = "Multiple imported nets match {}: ", "Conflict candidate awaiting resolution"
+FRESH, SUGGESTED_TEXT, GONE = "No imported match; rule-based guess will apply.", "Suggested as likely rename", "Net not present in current revision"
+
 RESULT = "old_net string, new_net string, match_status string, match_score int, action_required string, detail string"
 
 
@@ -48,7 +53,7 @@ def match_one_name(old: Sequence[str], new: Sequence[str]) -> list[tuple[str | N
             used.add(name)
             out.append((name, name, "exact", ""))
             continue
-        for status, words, alike in (("case_insensitive", "case-insensitively", lambda o: o.casefold() == name.casefold()), ("normalized", "after normalization", lambda o: True)):
+        for status, words, alike in (("case_insensitive", BY_CASE, lambda o: o.casefold() == name.casefold()), ("normalized", BY_NORMAL, lambda o: True)):
             found = sorted(o for o in known if o not in used and alike(o))
             if found:
                 break
@@ -58,7 +63,7 @@ def match_one_name(old: Sequence[str], new: Sequence[str]) -> list[tuple[str | N
             used.add(found[0])
             out.append((found[0], name, status, ""))
         else:
-            out.append((None, name, "conflict", f"Multiple imported nets match {words}: " + ", ".join(found)))
+            out.append((None, name, "conflict", SEVERAL.format(words) + ", ".join(found)))
     return out
 
 
@@ -141,7 +146,7 @@ def match_revisions(old: DataFrame, new: DataFrame, pack: RulePack, *, scope: Se
                 conflicting = {o for r in results if r[2] == "conflict" for o in have("olds") if o not in used}
                 head = [row[c] for c in s]
                 out += [(*head, *r) for r in results]
-                out += [(*head, o, None, "left", "Conflict candidate awaiting resolution" if o in conflicting else "") for o in have("olds") if o not in used]
+                out += [(*head, o, None, "left", AWAITING if o in conflicting else "") for o in have("olds") if o not in used]
             yield pd.DataFrame(out, columns=[*s, "old_net", "new_net", "status", "detail"], dtype=object)
 
     first = lists.mapInPandas(matched, f"{scope_types}{', ' if s else ''}old_net string, new_net string, status string, detail string")
@@ -166,9 +171,9 @@ def match_revisions(old: DataFrame, new: DataFrame, pack: RulePack, *, scope: Se
     part1 = shape(safe, F.col("status"), F.when(F.col("status") == "conflict", "resolve_conflict").otherwise(""), F.col("detail"))
     part2 = shape(renamed, F.lit("likely_renamed"), F.lit("review_suggestion"), none, F.col("match_score"))
     fresh = first.filter("status = 'unmatched'").join(renamed.select(*s, "new_net").distinct(), [*s, "new_net"], "left_anti")
-    part3 = shape(fresh, F.lit("new"), none, F.lit("No imported match; rule-based guess will apply."))
+    part3 = shape(fresh, F.lit("new"), none, F.lit(FRESH))
     suggested = renamed.select(*s, "old_net", F.lit(True).alias("__s")).distinct()
     gone = first.filter("status = 'left'").join(suggested, [*s, "old_net"], "left")
-    why = F.when(F.col("detail") != "", F.col("detail")).when(F.col("__s"), "Suggested as likely rename").otherwise("Net not present in current revision")
+    why = F.when(F.col("detail") != "", F.col("detail")).when(F.col("__s"), SUGGESTED_TEXT).otherwise(GONE)
     part4 = shape(gone, F.lit("missing"), none, why)
     return part1.unionByName(part2).unionByName(part3).unionByName(part4)

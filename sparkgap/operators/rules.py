@@ -10,6 +10,7 @@ join of nets with rules, no shuffle, no Python for ASCII names.
 from __future__ import annotations
 
 import csv
+import functools
 import json
 import re
 from collections.abc import Iterable, Mapping
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..functions.net_names import name_tokens, name_voltage, normal_name, rejected_name
 from ..tables import settle
-from . import builtin_rules
 
 # Which layer of rules and which kind of match goes first.
 LAYER_RANK = {"built-in": 0, "user-global": 1, "project-local": 2, "manual": 3}
@@ -30,8 +30,14 @@ KIND_RANK = {"regex": 0, "suffix": 1, "prefix": 1, "token": 2, "exact": 3}
 CLASS_VOLTS = {"IO_DIGITAL": 3.3, "IO_ANALOG": 3.3, "POWER_VARIABLE": 20.0, "POWER_HIGHER_LOW_VOLTAGE": 57.0, "MAINS": 230.0}
 CELL_VOLTS = 4.3
 UNKNOWN_SEVERITY = "Review"
-NO_RULE = ("No deterministic net-name rule matched.", "Review voltage manually.")
-REJECTED = "Net name could not be normalized (control/format characters); review manually."
+NO_RULE = ("No rule fits this name.", "Set its voltage by hand.")
+REJECTED = ("The name can't be read as a net's.", "It holds control or format characters.")
+BUILTIN = Path(__file__).with_name("builtin_pack")
+HOW = {"exact": "the name is {}", "token": "a word of the name is {}", "prefix": "the name begins with {}", "suffix": "the name ends with {}", "regex": "the name fits {}"}
+ASKED = {
+    "BATTERY": "State the battery's highest voltage.", "HIGH_VOLTAGE": "State the highest voltage of this part of the board.", "MAINS": "State the mains voltage.",
+    "ISOLATION_DOMAIN_HINT": "State the voltage of this side of the barrier.", "REFERENCE": "State the reference's voltage.",
+}
 
 
 @dataclass(frozen=True)
@@ -68,18 +74,17 @@ class RulePack:
     unlisted_files: tuple[str, ...] = ()
 
 
+@functools.cache
 def builtin_pack() -> RulePack:
-    """The rules that come with the engine, in their order."""
-    rules = []
-    for name in ("GROUND", "POWER", "MAINS", "SIGNAL", "COMMUNICATION", "PATTERN"):
-        for line in getattr(builtin_rules, f"{name}_RULES").strip().splitlines():
-            parts = [p.strip() for p in line.split(" ;")]
-            rule_id, priority, kind, on, pattern, net_class, volts, reference, vtype, confidence, severity, reason, warning, tags = parts
-            rules.append(
-                Rule(rule_id, int(priority), kind, on, pattern, net_class, float(volts) if volts else None, reference, vtype, confidence, severity, reason, warning,
-                     tuple(t for t in tags.split(",") if t), cell_count_from_pattern=rule_id in builtin_rules.CELL_RULES, source_file=name.lower())
-            )
-    return RulePack(tuple(rules))
+    """The rules that come with the engine, in their order, with words for what they found and ask."""
+    pack = read_pack(str(BUILTIN))
+    return replace(pack, rules=tuple(_with_words(r) for r in pack.rules), unlisted_files=())
+
+
+def _with_words(rule: Rule) -> Rule:
+    """A rule without a reason or warning gets plain ones from its kind, class and severity."""
+    warning = "" if rule.severity == "Info" else ASKED.get(rule.net_class, "Check the voltage against the circuit.")
+    return replace(rule, reason=rule.reason or f"{rule.net_class}: {HOW[rule.match_type].format(rule.pattern)}", warning=rule.warning or warning)
 
 
 # ---------------------------------------------------------------- reading packs
@@ -284,7 +289,7 @@ def classify_names(names: DataFrame, pack: RulePack, *, net: str = "net_name") -
     volts = F.col("__volts") if rules else F.lit(None).cast("double")
     final_class = F.when(F.col("rank").isNull(), "UNKNOWN").when((F.col("net_class") == "POWER") & (volts < 0), "POWER_NEGATIVE").otherwise(F.col("net_class"))
     conflict = F.concat(
-        F.lit(" Priority conflict: rules '"), F.get(ids, winner), F.lit("' and '"), F.get(ids, second), F.lit("' tie on layer/priority/specificity/length; smallest rule_id won.")
+        F.lit(" Rules "), F.get(ids, winner), F.lit(" and "), F.get(ids, second), F.lit(" rank alike; the first by name counts.")
     )
     in_order = F.transform(
         F.array_sort(F.transform(F.col("__ranks"), lambda r: F.struct(F.get(places, r).alias("o"), F.get(ids, r).alias("i")))), lambda s: s["i"]
@@ -304,8 +309,8 @@ def classify_names(names: DataFrame, pack: RulePack, *, net: str = "net_name") -
         F.when(unknown, "unknown").otherwise("rule").alias("source"),
         F.col("rule_id").alias("matched_rule_id"),
         in_order.alias("all_matched_rule_ids"),
-        F.when(F.col("__bad"), REJECTED).when(unknown, NO_RULE[0]).otherwise(F.col("reason")).alias("reason"),
-        F.when(F.col("__bad"), "Net name contains control/format characters")
+        F.when(F.col("__bad"), REJECTED[0]).when(unknown, NO_RULE[0]).otherwise(F.col("reason")).alias("reason"),
+        F.when(F.col("__bad"), REJECTED[1])
         .when(unknown, NO_RULE[1])
         .otherwise(F.trim(F.concat(F.col("rule_warning"), F.when(tied, conflict).otherwise(F.lit("")))))
         .alias("warning"),
@@ -324,7 +329,8 @@ def _levels(rules: list[Rule]) -> dict[int, int]:
 
 def self_test(spark: SparkSession, pack: RulePack | None = None) -> DataFrame:
     """The pack's self-test: one row per case with what was wanted, what came out, and `passed`."""
-    cases = [tuple(p.strip() or None for p in line.split(" ;")) for line in builtin_rules.SELF_TEST.strip().splitlines()]
+    with (BUILTIN / "self_test.csv").open(encoding="utf-8", newline="") as lines:
+        cases = [[text or None for text in case.values()] for case in csv.DictReader(lines)]
     rows = [(n, c, float(v) if v else None, f, s, r) for n, c, v, f, s, r in cases]
     table = spark.createDataFrame(rows, "net_name string, want_class string, want_v double, want_confidence string, want_severity string, want_state string")
     got = classify_names(table, pack or builtin_pack())
