@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import join_few
+from ..tables import join_few, settle
 from .shapes import POINTS
 
 RESOLUTION = 16
@@ -74,15 +74,20 @@ class Polygon:
         return out
 
 
+def _turns(resolution: int) -> list[tuple[int, int, float, float]]:
+    """Corner (u, v) and direction (cosine, sine) of each point around a rounded box; one a corner for resolution 0."""
+    corners = enumerate(((1, 1), (-1, 1), (-1, -1), (1, -1)))
+    steps = [j * np.pi / 2 / resolution for j in range(resolution + 1)] if resolution else [0.0]
+    return [(u, v, float(np.cos(k * np.pi / 2 + t)), float(np.sin(k * np.pi / 2 + t))) for k, (u, v) in corners for t in steps]
+
+
 def rounded_box_ring(cx: float, cy: float, hx: float, hy: float, c: float, s: float, r: float, resolution: int = RESOLUTION) -> tuple[list[float], list[float]]:
     """The edge of a rounded box, corners as chains of chords."""
     xs, ys = [], []
-    for k, (u, v) in enumerate(((1, 1), (-1, 1), (-1, -1), (1, -1))):
-        turns = [k * np.pi / 2 + j * np.pi / 2 / resolution for j in range(resolution + 1)] if r > 0 else [0.0]
-        for t in turns:
-            px, py = u * hx + r * np.cos(t), v * hy + r * np.sin(t)
-            xs.append(cx + px * c - py * s)
-            ys.append(cy + px * s + py * c)
+    for u, v, a, b in _turns(resolution if r > 0 else 0):
+        px, py = u * hx + r * a, v * hy + r * b
+        xs.append(cx + px * c - py * s)
+        ys.append(cy + px * s + py * c)
     return xs, ys
 
 
@@ -329,21 +334,24 @@ def with_polygons(features: DataFrame, resolution: int = RESOLUTION) -> DataFram
     """Features with `shape` or `rings`, feature_index and polarity get `polygon` and its bounds; others a null one."""
     has_rings = "rings" in features.columns
     given = features if has_rings else features.withColumn("rings", F.lit(None).cast("array<struct<marker:string,pts:array<struct<x:double,y:double>>>>"))
-    inner = given.withColumn("__positive", F.upper(F.trim("polarity")) == "P")
-
-    @F.udf(POLYGON, useArrow=True)
-    def polygon(shape, rings, idx, positive):
-        if rings:
-            first_hole = not any(r["marker"] == "I" for r in rings)
-            parts = [{"hole": r["marker"] == "H" or (r["marker"] not in ("I", "H") and k > 0 and first_hole), "xs": [p["x"] for p in r["pts"]], "ys": [p["y"] for p in r["pts"]]} for k, r in enumerate(rings)]
-        elif shape is not None:
-            xs, ys = rounded_box_ring(shape["cx"], shape["cy"], shape["hx"], shape["hy"], shape["c"], shape["s"], shape["r"], resolution)
-            parts = [{"hole": False, "xs": [float(x) for x in xs], "ys": [float(y) for y in ys]}]
-        else:
-            return None
-        return {"idx": idx, "positive": bool(positive), "rings": parts}
-
-    done = inner.withColumn("polygon", polygon("shape", "rings", "feature_index", "__positive")).drop("__positive")
+    marked = F.exists("rings", lambda r: r["marker"] == "I")
+    hole = lambda r, k: (r["marker"] == "H") | (~r["marker"].isin("I", "H") & (k > 0) & ~marked)
+    islands = F.transform("rings", lambda r, k: F.struct(F.coalesce(hole(r, k), F.lit(False)).alias("hole"), F.transform(r["pts"], lambda p: p["x"]).alias("xs"), F.transform(r["pts"], lambda p: p["y"]).alias("ys")))
+    corners = {n: F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(turn, "uvab")]) for turn in _turns(n)]) for n in (0, resolution)}
+    box = F.col("shape")
+
+    def edge(axis: int) -> Column:
+        def place(t: Column) -> Column:
+            px, py = t["u"] * box["hx"] + box["r"] * t["a"], t["v"] * box["hy"] + box["r"] * t["b"]
+            return box["cx"] + px * box["c"] - py * box["s"] if axis == 0 else box["cy"] + px * box["s"] + py * box["c"]
+
+        return F.when(box["r"] > 0, F.transform(corners[resolution], place)).otherwise(F.transform(corners[0], place))
+
+    ring = F.array(F.struct(F.lit(False).alias("hole"), edge(0).alias("xs"), edge(1).alias("ys")))
+    rings = F.when(F.size("rings") > 0, islands).when(box.isNotNull(), ring)
+    positive = F.coalesce(F.upper(F.trim("polarity")) == "P", F.lit(False))
+    whole = F.struct(F.col("feature_index").alias("idx"), positive.alias("positive"), F.col("__rings").alias("rings"))
+    done = settle(settle(given, __rings=rings), polygon=F.when(F.col("__rings").isNotNull(), whole)).drop("__rings")
     return done if has_rings else done.drop("rings")
 
 
