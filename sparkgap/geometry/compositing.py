@@ -385,39 +385,85 @@ def _read(items) -> list[Polygon]:
     return [Polygon(p["idx"], p["positive"], [(r["hole"], r["xs"], r["ys"]) for r in p["rings"]]) for p in items]
 
 
-def net_edges(nets: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """(scope, net_name, gx, gy, lead, shape) of every piece of the nets' edges, as boxes without width.
+def net_traces(nets: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, net, gx, gy, ends, leads, x0, y0, x1, y1): the pieces of each net's edges in each cell.
 
-    `lead` marks one piece of each chain of pieces within a cell.
+    `ends` holds x1, y1, x2, y2 of piece after piece, `leads` the place of one
+    piece of each chain, the rest the bounds of the pieces.
     """
     at = [*scope, "net", "gx", "gy"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nets.select(*at).schema)
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = {c: batch[c].to_numpy() for c in at}
-            places = zip(batch["polygons"], batch["cell_mm"], batch["gx"], batch["gy"])
-            rows, found, n = [], [], 0
-            for k, (polygons, w, x, y) in enumerate(places):
-                found.append(traced_edges(_read(polygons), (x * w, y * w, (x + 1) * w, (y + 1) * w)))
-                rows.append(k)
-                n += len(found[-1][1])
-                if n > MOST_PIECES or k == len(batch) - 1:
-                    e, lead = np.vstack([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    own = np.repeat(rows, [len(f[1]) for f in found])
-                    yield pd.DataFrame({**{c: v[own] for c, v in keys.items()}, "lead": lead, "ax": e[:, 0], "ay": e[:, 1], "bx": e[:, 2], "by": e[:, 3]})
-                    rows, found, n = [], [], 0
-
-    pieces = nets.mapInPandas(traced, f"{types}, lead boolean, ax double, ay double, bx double, by double")
+            kept, out, n = [], [], 0
+            for k, (polygons, w, x, y) in enumerate(zip(batch["polygons"], batch["cell_mm"], batch["gx"], batch["gy"])):
+                e, lead = traced_edges(_read(polygons), (x * w, y * w, (x + 1) * w, (y + 1) * w))
+                if len(e):
+                    kept.append(k)
+                    out.append((e.ravel(), np.flatnonzero(lead).astype(np.int32), *_edges_box(e)))
+                    n += len(e)
+                if out and (n > MOST_PIECES or k == len(batch) - 1):
+                    found = pd.DataFrame(out, columns=["ends", "leads", "x0", "y0", "x1", "y1"])
+                    yield pd.concat([batch[at].iloc[kept].reset_index(drop=True), found], axis=1)
+                    kept, out, n = [], [], 0
+
+    return nets.mapInPandas(traced, f"{types}, ends array<double>, leads array<int>, x0 double, y0 double, x1 double, y1 double")
+
+
+def _piece(place: Column) -> list[Column]:
+    return [F.get("ends", place * 4 + k) for k in range(4)]
+
+
+def traced_pieces(traces: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, net_name, gx, gy, shape) of every piece of `net_traces`, as boxes without width."""
+    places = F.explode(F.sequence(F.lit(0), (F.size("ends") / 4).cast("int") - 1))
+    numbered = traces.filter(F.size("ends") > 0).select(*scope, F.col("net").alias("net_name"), "gx", "gy", "ends", places.alias("k"))
+    pieces = settle(numbered, **{c: v for c, v in zip(("ax", "ay", "bx", "by"), _piece(F.col("k")))}).drop("ends", "k")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     length = F.sqrt(dx * dx + dy * dy)
     shape = F.struct(
         ((F.col("ax") + F.col("bx")) / 2).alias("cx"), ((F.col("ay") + F.col("by")) / 2).alias("cy"), (length / 2).alias("hx"), F.lit(0.0).alias("hy"), (dx / length).alias("c"), (dy / length).alias("s"), F.lit(0.0).alias("r")
     )
-    return pieces.select(*scope, F.col("net").alias("net_name"), "gx", "gy", "lead", shape.alias("shape"))
+    return pieces.select(*scope, "net_name", "gx", "gy", shape.alias("shape"))
+
+
+def net_edges(nets: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, net_name, gx, gy, shape) of every piece of the nets' edges."""
+    return traced_pieces(net_traces(nets, scope), scope)
+
+
+def close_traces(traces: DataFrame, threshold_mm: float, scope: Sequence[str], *, cell_mm: float = GRID_MM) -> DataFrame:
+    """(scope, net_a, net_b, clearance_mm, nearest points) of traces of different nets nearer than the threshold.
+
+    Traces meet by grid cell if their bounds, widened by half the threshold, do; a
+    pair that shares several cells is kept in the one that holds the lower left
+    corner of the overlap of their bounds. Each pair is measured at once.
+    """
+    s, half = list(scope), threshold_mm / 2
+    cell_mm = max(cell_mm, threshold_mm)
+    boxed = traces.select(*s, "net", "ends", (F.col("x0") - half).alias("x0"), (F.col("y0") - half).alias("y0"), (F.col("x1") + half).alias("x1"), (F.col("y1") + half).alias("y1"))
+    cell = lambda v: F.floor(F.col(v) / cell_mm).cast("int")
+    entered = boxed.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    a, b = (entered.select(*s, "cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("net", "ends", "x0", "y0", "x1", "y1")]) for n in "ab")
+    met = a.join(b, [*s, "cx", "cy"]).filter("a_net < b_net and a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1")
+    corner = (F.floor(F.greatest("a_x0", "b_x0") / cell_mm) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell_mm) == F.col("cy"))
+    work = met.filter(corner).select(*s, F.col("a_net").alias("net_a"), F.col("b_net").alias("net_b"), "a_ends", "b_ends")
+    keys = [*s, "net_a", "net_b"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keys).schema)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gaps = [nearest_edges(np.reshape(p, (-1, 4)), np.reshape(q, (-1, 4)), (threshold_mm, *NOWHERE[1:])) for p, q in zip(batch["a_ends"], batch["b_ends"])]
+            found = pd.DataFrame(gaps, columns=["clearance_mm", *POINTS], index=batch.index, dtype=float)
+            out = pd.concat([batch[keys], found], axis=1)
+            yield out[out["clearance_mm"] < threshold_mm]
+
+    near = work.mapInPandas(measured, f"{types}, clearance_mm double, " + ", ".join(f"{p} double" for p in POINTS))
+    return least_gaps(near, s)
 
 
-def enclosed_nets(nets: DataFrame, edges: DataFrame, scope: Sequence[str]) -> DataFrame:
+def enclosed_nets(nets: DataFrame, traces: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(scope, net_a, net_b, x, y) of nets of which one has an edge within the copper of the other, and where.
 
     One point of each chain of edges in a cell is asked for, against the nets
@@ -426,7 +472,9 @@ def enclosed_nets(nets: DataFrame, edges: DataFrame, scope: Sequence[str]) -> Da
     """
     s = list(scope)
     at = [*s, "gx", "gy"]
-    points = edges.filter("lead").select(*at, F.col("net_name").alias("guest"), F.struct(F.col("shape.cx").alias("x"), F.col("shape.cy").alias("y")).alias("p"))
+    ax, ay, bx, by = _piece(F.col("lead"))
+    leads = traces.select(*at, F.col("net").alias("guest"), "ends", F.explode("leads").alias("lead"))
+    points = leads.select(*at, "guest", F.struct(((ax + bx) / 2).alias("x"), ((ay + by) / 2).alias("y")).alias("p"))
     hosts = nets.select(*at, F.col("net").alias("host"), "x0", "y0", "x1", "y1")
     asked = points.join(hosts, at).filter("guest <> host and p.x between x0 and x1 and p.y between y0 and y1")
     lists = asked.groupBy(*at, "host").agg(F.collect_list(F.struct("guest", "p")).alias("guests"))
@@ -503,11 +551,10 @@ def composited_pairs(features: DataFrame, threshold_mm: float | None, scope: Seq
     distances may exceed the exact ones by up to 0.0012 of the radii. The points
     are the nearest ones; of several equally near any.
     """
-    from ..operators.spacing import close_net_pairs
     from ..session import cut_lineage
 
     nets = cut_lineage(net_polygons(features, scope, include_no_net=include_no_net))
-    edges = cut_lineage(net_edges(nets, scope))
-    near = all_edge_pairs(edges, scope) if threshold_mm is None else close_net_pairs(edges, threshold_mm, scope, cell_mm=max(2.0, threshold_mm), points=True)
-    inside = enclosed_nets(nets, edges, scope).select(*scope, "net_a", "net_b", F.lit(0.0).alias("clearance_mm"), *[F.col(c).alias(p) for c, p in zip("xyxy", POINTS)])
+    traces = cut_lineage(net_traces(nets, scope))
+    near = all_edge_pairs(traced_pieces(traces, scope), scope) if threshold_mm is None else close_traces(traces, threshold_mm, scope)
+    inside = enclosed_nets(nets, traces, scope).select(*scope, "net_a", "net_b", F.lit(0.0).alias("clearance_mm"), *[F.col(c).alias(p) for c, p in zip("xyxy", POINTS)])
     return least_gaps(near.unionByName(inside), scope)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import estimators as est
 from ..functions.layers import layer_key
 from ..functions.net_names import name_tokens, name_voltage, normal_name
-from ..geometry.compositing import composited_pairs
+from ..geometry.air_gap import effective_gaps
+from ..geometry.compositing import composited_pairs, net_polygons
 from ..geometry.shapes import with_shapes
 from ..operators import assignments as asg
 from ..operators import measurements as mea
@@ -17,6 +18,7 @@ from ..operators import rules as rul
 from ..operators import spacing as spc
 from ..operators.reject_rows import load_delimited
 from ..operators.revision_match import match_revisions
+from ..session import cut_lineage
 from ..tables import settle, table
 from ..vocabulary import CONFIDENCES, NET_CLASSES, REVIEW_STATES, SEVERITIES
 from . import sql
@@ -228,6 +230,14 @@ def composited_copper_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composited_pairs(_board_shapes(spark, sf_dir), CLOSE_MM, ["job_id", "layer"]).withColumn("clearance_mm", F.round("clearance_mm", 6))
 
 
+@query()
+def effective_air_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = ["job_id", "layer"]
+    shapes = _board_shapes(spark, sf_dir)
+    gaps = effective_gaps(composited_pairs(shapes, CLOSE_MM, scope), cut_lineage(net_polygons(shapes, scope)), scope)
+    return gaps.select(*scope, "net_a", "net_b", *[F.round(c, 6).alias(c) for c in ("direct_clearance_mm", "effective_air_gap_mm", "copper_blocked_length_mm")], "copper_on_path", "blocker_nets")
+
+
 @query("""WITH f AS (SELECT DISTINCT ON (feature_id) * FROM features), s AS (SELECT job_id, upper(trim(layer)) AS layer, x, y, CAST(regexp_extract(symbol_name, '^r([0-9.]+)$', 1) AS DOUBLE) / 2000 AS r
   FROM f WHERE upper(trim(kind)) = 'P' AND regexp_full_match(symbol_name, 'r[0-9.]+') AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y))
 SELECT job_id, layer, round(min(x - r), 6) AS min_x, round(min(y - r), 6) AS min_y, round(max(x + r), 6) AS max_x, round(max(y + r), 6) AS max_y FROM s GROUP BY job_id, layer""")
