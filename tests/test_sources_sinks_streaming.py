@@ -83,6 +83,20 @@ def test_stream_counts_windows_and_drops_repeats(spark, tmp_path):
     assert {g[1:] for g in got} == {(3, 2, 0.1), (1, 0, 0.3)}
 
 
+def test_late_corrections_replace_what_was_kept(spark, tmp_path):
+    t = lambda d: dt.datetime(2030, 1, d)
+    schema = "measurement_id bigint, job_id string, clearance_mm double, measured_at timestamp, loaded_at timestamp"
+    deliveries = [[(1, "j", 0.1, t(1), t(1)), (1, "j", 0.15, t(1), t(2)), (2, "j", 0.5, t(20), t(20)), (None, "j", 0.3, t(1), t(1))], [(1, "j", 0.9, t(1), t(25)), (3, "j", None, t(1), t(26)), (None, "j", 0.3, t(1), t(1))], [(1, "j", 0.2, t(1), t(3))]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = ms.kept_deliveries(stream, str(tmp_path / "kept")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r.measurement_id or 0, r.clearance_mm) for r in ms.last_deliveries(spark, str(tmp_path / "kept")).collect())
+    assert got == [(0, 0.3), (0, 0.3), (1, 0.9), (2, 0.5), (3, None)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     board = tmp_path / "boards"
     board.mkdir()
