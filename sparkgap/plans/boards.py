@@ -216,7 +216,8 @@ def pair_clearance_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _board_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = table(spark, sf_dir, "features").withColumn("layer", layer_key(F.col("layer")))
-    order = [F.col("loaded_at").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("polarity", "net_name", "x", "y", "symbol_name")]]
+    newest = [F.col("loaded_at").desc_nulls_last()] if "loaded_at" in features.columns else []
+    order = [*newest, *[F.col(c).asc_nulls_last() for c in ("polarity", "net_name", "x", "y", "symbol_name")]]
     return with_shapes(asg.last_of_each(features, ["feature_id"], order))
 
 
