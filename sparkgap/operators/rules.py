@@ -12,8 +12,9 @@ from __future__ import annotations
 import csv
 import functools
 import json
+import math
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -186,12 +187,29 @@ def _same_rank(a: Rule, b: Rule) -> bool:
     return key(a) == key(b)
 
 
+def _literal(value: object) -> str:
+    """A value as SQL; tables of hundreds of values are parsed at once instead of being built one by one."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(_literal, value))})"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return str(value)
+
+
+def _table(values: Sequence[object], kind: str) -> Column:
+    return F.expr(f"cast({_literal(list(values))} AS array<{kind}>)")
+
+
 def _lookup(groups: Mapping[str, list[int]], key: Column) -> Column:
     none = F.array().cast("array<int>")
     if not groups:
         return none
-    pairs = [x for text, ranks in groups.items() for x in (F.lit(text), F.array(*map(F.lit, ranks)))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), none)
+    pairs = ", ".join(_literal(x) for text, ranks in groups.items() for x in (text, ranks))
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), key), none)
 
 
 def matching_ranks(raw: Column, normal: Column, rules: list[Rule]) -> Column:
@@ -238,7 +256,7 @@ def rules_frame(spark: SparkSession, pack: RulePack) -> DataFrame:
 
 def _winner_volts(winner: Column, raw: Column, normal: Column, rules: list[Rule], pack: RulePack) -> Column:
     """Volts of the winning rule: cells, then the rule's own, then its pattern's, then its class's, then the name's."""
-    numbers = lambda values: F.get(F.array(*[F.lit(None if v is None else float(v)).cast("double") for v in values]), winner)
+    numbers = lambda values: F.get(_table([None if v is None else float(v) for v in values], "double"), winner)
     by_cells, by_group = F.lit(None).cast("double"), F.lit(None).cast("string")
     for rank, rule in enumerate(rules):
         pattern = java_pattern(rule.pattern) if rule.match_type == "regex" else None
@@ -254,8 +272,8 @@ def _winner_volts(winner: Column, raw: Column, normal: Column, rules: list[Rule]
     own = numbers([r.voltage_v for r in rules])
     of_class = numbers([pack.class_volts.get(r.net_class) for r in rules])
     volts = F.coalesce(own, name_voltage(by_group), of_class, name_voltage(raw))
-    negative = F.get(F.array(*[F.lit(r.net_class == "POWER_NEGATIVE") for r in rules]), winner)
-    counts_cells = F.get(F.array(*[F.lit(r.cell_count_from_pattern) for r in rules]), winner)
+    negative = F.get(_table([r.net_class == "POWER_NEGATIVE" for r in rules], "boolean"), winner)
+    counts_cells = F.get(_table([r.cell_count_from_pattern for r in rules], "boolean"), winner)
     return F.when(counts_cells, by_cells).when(negative, -F.abs(volts)).otherwise(volts)
 
 
@@ -278,11 +296,11 @@ def classify_names(names: DataFrame, pack: RulePack, *, net: str = "net_name") -
     winner = F.try_element_at(F.col("__ranks"), F.lit(1))
     ties = [k for k, (a, b) in enumerate(zip(rules, rules[1:])) if _same_rank(a, b)]
     second = F.try_element_at(F.col("__ranks"), F.lit(2))
-    level = F.create_map(*[x for k, group in _levels(rules).items() for x in (F.lit(k), F.lit(group))]) if ties else None
-    tied = (F.try_element_at(level, winner) == F.try_element_at(level, second)) if ties else F.lit(False)
-    ids = F.array(*[F.lit(r.rule_id) for r in rules]) if rules else F.array().cast("array<string>")
+    level = _table(list(_levels(rules).values()), "int")
+    tied = (F.get(level, winner) == F.get(level, second)) if ties else F.lit(False)
+    ids = _table([r.rule_id for r in rules], "string")
     order = {id(r): k for k, r in enumerate(pack.rules)}
-    places = F.array(*[F.lit(order[id(r)]) for r in rules]) if rules else F.array().cast("array<int>")
+    places = _table([order[id(r)] for r in rules], "int")
     joined = step.join(frame, F.col("rank") == winner, "left")
     if rules:
         joined = settle(joined, __volts=_winner_volts(F.col("rank"), raw, F.col("__normal"), rules, pack))

@@ -58,3 +58,16 @@ def test_packs_from_files(spark, pack_folder):
     got = {r.net_name: (r.matched_rule_id, r.final_voltage_v) for r in rul.classify_names(spark.createDataFrame([("mot",), ("STACK_6",), ("MOTOR",)], "net_name string"), pack).collect()}
     assert got["mot"] == ("r1", None) and got["MOTOR"] == (None, None)
     assert got["STACK_6"][0] == "r3" and got["STACK_6"][1] == pytest.approx(24.6)
+
+
+def test_patterns_with_any_marks_are_taken_literally(spark):
+    from dataclasses import replace
+
+    from sparkgap.operators import rules as rul
+
+    rule = rul.Rule("it's \\ odd", 10, "exact", "raw", "a'b\\c\"d", "POWER", voltage_v=1e-300, reason="x")
+    pack = replace(rul.builtin_pack(), rules=(rule, replace(rule, rule_id="inf", pattern="inf", voltage_v=float("inf"))))
+    names = spark.createDataFrame([("a'b\\c\"d",), ("inf",), ("a",)], "net_name string")
+    got = {r.net_name: (r.matched_rule_id, r.final_voltage_v) for r in rul.classify_names(names, pack).collect()}
+    assert got == {"a'b\\c\"d": ("it's \\ odd", 1e-300), "inf": ("inf", float("inf")), "a": (None, None)}
+    assert rul.classify_names(names, replace(pack, rules=())).count() == 3
