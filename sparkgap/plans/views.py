@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.layers import layer_key
 from ..functions.net_names import normal_name
+from ..operators import rules as rul
 from ..operators import views
 from ..operators.measurements import all_nets
 from ..tables import table
-from . import found, sql
+from . import boards, found, sql
 from .boards import _assigned, _board_shapes, _zone_sql, query
 
 THRESHOLD_MM, DEBUG_LIMIT = 0.5, 200
@@ -137,3 +140,51 @@ def project_net_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = table(spark, sf_dir, "assignment_snapshots")
     named = all_nets((snapshots, "net_name"))
     return snapshots.join(named, "net_name", "left_semi").groupBy("project_id").agg(F.count_distinct("net_name").alias("n_nets"))
+
+
+# ---------------------------------------------------------------- rules over every name
+
+_WIDE = "list_aggregate(list_transform(string_split({0}, ''), lambda c: CASE WHEN c <> '' AND unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) ELSE c END), 'string_agg', '')"
+_BARE = "regexp_replace(net_name, '[\\p{Cc}\\p{Cf}]', '', 'g')"
+_EVERY = f"""every AS (SELECT net_name, {_WIDE.format('net_name')} AS plain, {sql.NORMAL.format(_WIDE.format(_BARE))} AS normal FROM ({boards.ORACLES['distinct_net_union']}))"""
+_WON = f"""{_EVERY}, n AS (SELECT * FROM every WHERE NOT regexp_matches(net_name, '[\\p{{Cc}}\\p{{Cf}}]')),
+r(rule_order, rule_id, priority, kind_rank, len, match_type, match_on, pattern, net_class, confidence, severity) AS (VALUES {boards._rule_values()}),
+hits AS (SELECT n.net_name, n.plain, n.normal, r.* FROM n JOIN r ON CASE r.match_type WHEN 'exact' THEN n.normal = r.pattern WHEN 'token' THEN list_contains(string_split(n.normal, '_'), r.pattern)
+  WHEN 'prefix' THEN starts_with(n.normal, r.pattern) WHEN 'suffix' THEN suffix(n.normal, r.pattern) ELSE {boards._regex_case()} END),
+won AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY net_name ORDER BY priority DESC, kind_rank DESC, len DESC, rule_id) = 1)"""
+
+
+def _own_volts() -> str:
+    return "CASE rule_id " + " ".join(f"WHEN '{r.rule_id}' THEN {r.voltage_v!r}" for r in rul.builtin_pack().rules if r.voltage_v is not None) + " END"
+
+
+def _group(name: str) -> str:
+    """What a rule's pattern takes out of the name under a group's name, for the rules that have it."""
+    whens = []
+    for r in rul.builtin_pack().rules:
+        groups = re.compile(r.pattern).groupindex if r.match_type == "regex" else {}
+        if name in groups:
+            target, flags = ("net_name", "") if r.match_on == "raw" else ("normal", "(?i)")
+            whens.append(f"WHEN '{r.rule_id}' THEN regexp_extract({target}, '{flags}{r.pattern}', {groups[name]})")
+    return f"CASE rule_id {' '.join(whens)} END"
+
+
+_OUTCOME = f"""{_WON}, parts AS (SELECT *, {_own_volts()} AS own, coalesce({_group("voltage")}, '') AS said, {_group("cells")} AS cells FROM won),
+volts AS (SELECT *, coalesce(own, {boards._sql_volts("said")}, CASE net_class WHEN 'IO_DIGITAL' THEN 3.3 WHEN 'IO_ANALOG' THEN 3.3 WHEN 'POWER_VARIABLE' THEN 20.0 WHEN 'POWER_HIGHER_LOW_VOLTAGE' THEN 57.0 WHEN 'MAINS' THEN 230.0 END,
+  {boards._sql_volts("plain")}) AS v FROM parts),
+signed AS (SELECT *, CASE WHEN cells IS NOT NULL THEN CASE WHEN TRY_CAST(cells AS INTEGER) > 0 THEN TRY_CAST(cells AS INTEGER) * 4.3 END WHEN net_class = 'POWER_NEGATIVE' THEN -abs(v) ELSE v END AS final_v FROM volts)"""
+
+
+@query(f"""WITH {_OUTCOME} SELECT e.net_name, s.rule_id AS matched_rule_id, CASE WHEN s.rule_id IS NULL THEN 'UNKNOWN' WHEN s.net_class = 'POWER' AND s.final_v < 0 THEN 'POWER_NEGATIVE' ELSE s.net_class END AS final_class,
+  CAST(round(s.final_v, 9) AS DOUBLE) AS final_voltage_v, coalesce(s.severity, 'Review') AS severity, CASE WHEN s.confidence = 'High' AND s.severity IN ('Info', 'Review') AND s.net_class <> 'UNKNOWN' THEN 'Approved' ELSE 'Needs review' END AS review_state
+FROM every e LEFT JOIN signed s ON e.net_name = s.net_name""")
+def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rul.classify_names(boards.distinct_net_union(spark, sf_dir), rul.builtin_pack())
+    return got.select("net_name", "matched_rule_id", "final_class", F.round("final_voltage_v", 9).alias("final_voltage_v"), "severity", "review_state")
+
+
+boards.ORACLES["net_normalize_all"] = f"WITH {_EVERY} SELECT net_name, normal, len(list_filter(string_split(normal, '_'), lambda t: t <> '')) AS n_tokens FROM every"
+boards.ORACLES["voltage_token_all"] = f"WITH {_EVERY} SELECT net_name, {boards._sql_volts('plain')} AS volts FROM every"
+boards.ORACLES["rule_classify_all"] = f"""WITH {_WON} SELECT e.net_name, w.rule_id AS matched_rule_id, coalesce(w.confidence, 'Unknown') AS confidence, coalesce(w.severity, 'Review') AS severity
+FROM every e LEFT JOIN won w ON e.net_name = w.net_name"""
+boards.ORACLES["rule_all_matches_all"] = f"WITH {_WON} SELECT net_name, string_agg(rule_id, ';' ORDER BY rule_order) AS rule_ids, count(*) AS n_rules FROM hits GROUP BY net_name"
