@@ -188,3 +188,43 @@ boards.ORACLES["voltage_token_all"] = f"WITH {_EVERY} SELECT net_name, {boards._
 boards.ORACLES["rule_classify_all"] = f"""WITH {_WON} SELECT e.net_name, w.rule_id AS matched_rule_id, coalesce(w.confidence, 'Unknown') AS confidence, coalesce(w.severity, 'Review') AS severity
 FROM every e LEFT JOIN won w ON e.net_name = w.net_name"""
 boards.ORACLES["rule_all_matches_all"] = f"WITH {_WON} SELECT net_name, string_agg(rule_id, ';' ORDER BY rule_order) AS rule_ids, count(*) AS n_rules FROM hits GROUP BY net_name"
+
+
+# ---------------------------------------------------------------- close copper by brute force
+
+_NUM = "([0-9]*[.]?[0-9]+)"
+_BOXED = f"^(rect|oval){_NUM}x{_NUM}(xr{_NUM})?$"
+_COPPER = f"""{_DRAWN}, sym AS (SELECT *, lower(trim(symbol_name)) AS sy FROM s WHERE placed AND positive AND net_name <> '$NONE$'),
+dims AS (SELECT *, nullif(regexp_extract(sy, '{_BOXED}', 1), '') AS form, TRY_CAST(regexp_extract(sy, '{_BOXED}', 5) AS DOUBLE) / 1000 AS corner,
+  coalesce(TRY_CAST(regexp_extract(sy, '^r{_NUM}$', 1) AS DOUBLE), TRY_CAST(regexp_extract(sy, '{_BOXED}', 2) AS DOUBLE), 1.0) / 1000 AS w,
+  coalesce(TRY_CAST(regexp_extract(sy, '^r{_NUM}$', 1) AS DOUBLE), TRY_CAST(regexp_extract(sy, '{_BOXED}', 3) AS DOUBLE), 1.0) / 1000 AS h FROM sym),
+turned AS (SELECT *, CASE WHEN form = 'rect' THEN least(coalesce(corner, 0.0), w / 2, h / 2) ELSE least(w, h) / 2 END AS pr, radians(coalesce(rotation_deg, 0.0)) AS t, sqrt(power(x2 - x, 2) + power(y2 - y, 2)) AS len FROM dims),
+boxes AS (SELECT job_id, upper(trim(layer)) AS layer, net_name AS net, CASE WHEN k = 'P' THEN x ELSE (x + x2) / 2 END AS cx, CASE WHEN k = 'P' THEN y ELSE (y + y2) / 2 END AS cy,
+  CASE WHEN k = 'P' THEN w / 2 - pr ELSE len / 2 END AS hx, CASE WHEN k = 'P' THEN h / 2 - pr ELSE 0.0 END AS hy, CASE WHEN k = 'P' THEN cos(t) WHEN len > 0 THEN (x2 - x) / len ELSE 1.0 END AS c,
+  CASE WHEN k = 'P' THEN sin(t) WHEN len > 0 THEN (y2 - y) / len ELSE 0.0 END AS s, CASE WHEN k = 'P' THEN pr ELSE least(w, h) / 2 END AS r FROM turned),
+sized AS (SELECT *, abs(hx * c) + abs(hy * s) + r AS ex, abs(hx * s) + abs(hy * c) + r AS ey FROM boxes)"""
+
+
+def _far(a: str, b: str) -> list[str]:
+    """How far each corner of box `a` lies from box `b`."""
+    out = []
+    for u in (-1, 1):
+        for v in (-1, 1):
+            dx, dy = (f"({a}.c{axis} + {u} * {a}.hx * {along} {sign} {v} * {a}.hy * {across} - {b}.c{axis})" for axis, along, sign, across in (("x", f"{a}.c", "-", f"{a}.s"), ("y", f"{a}.s", "+", f"{a}.c")))
+            out.append(f"sqrt(power(greatest(abs({dx} * {b}.c + {dy} * {b}.s) - {b}.hx, 0), 2) + power(greatest(abs({dy} * {b}.c - {dx} * {b}.s) - {b}.hy, 0), 2))")
+    return out
+
+
+def _apart(o: str, a: str, b: str) -> str:
+    """Whether an axis of box `o` separates two boxes."""
+    c, s = f"abs({a}.c * {b}.c + {a}.s * {b}.s)", f"abs({a}.c * {b}.s - {a}.s * {b}.c)"
+    other = b if o == a else a
+    dx, dy = f"({b}.cx - {a}.cx)", f"({b}.cy - {a}.cy)"
+    u, v = f"abs({dx} * {o}.c + {dy} * {o}.s)", f"abs({dy} * {o}.c - {dx} * {o}.s)"
+    return f"{u} > {o}.hx + {other}.hx * {c} + {other}.hy * {s} OR {v} > {o}.hy + {other}.hx * {s} + {other}.hy * {c}"
+
+
+boards.ORACLES["close_copper_pairs"] = f"""WITH {_COPPER}, met AS (SELECT p.job_id, p.layer, p.net AS net_a, q.net AS net_b,
+  CASE WHEN NOT ({_apart('p', 'p', 'q')} OR {_apart('q', 'p', 'q')}) THEN 0.0 ELSE greatest(0.0, least({', '.join(_far('p', 'q') + _far('q', 'p'))}) - p.r - q.r) END AS d
+  FROM sized p JOIN sized q ON p.job_id = q.job_id AND p.layer = q.layer AND p.net < q.net AND abs(p.cx - q.cx) <= p.ex + q.ex + {boards.CLOSE_MM} AND abs(p.cy - q.cy) <= p.ey + q.ey + {boards.CLOSE_MM})
+SELECT job_id, layer, net_a, net_b, round(min(d), 6) AS clearance_mm FROM met WHERE d < {boards.CLOSE_MM} GROUP BY ALL"""
