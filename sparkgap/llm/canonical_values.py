@@ -191,13 +191,16 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     repaired = cut_lineage(close_texts(typed.select("kind", F.explode("tokens").alias("typed")), word_list))
     typed = typed.withColumn("tokens", without_annotations(F.col("tokens"), learned_annotations(typed, forms, repaired)))
 
-    squashed = typed.select("kind", "value", F.array_join("tokens", "").alias("typed"))
+    scored = cut_lineage(scored_names(typed, repaired, form_words))
+    # a value that is a name as it stands can't do better run together
+    settled = scored.filter(F.col("score") >= 1 - 1e-9).select("kind", "value").distinct()
+    squashed = typed.join(settled, ["kind", "value"], "left_anti").select("kind", "value", F.array_join("tokens", "").alias("typed"))
     orders = forms.select("kind", "ref_id", F.explode(F.array_distinct(F.array(F.array_join("tokens", ""), F.array_join(F.reverse("tokens"), "")))).alias("word"))
     orders = cut_lineage(orders.distinct())
     whole = join_few(squashed.join(close_texts(squashed, orders), ["kind", "typed"]), orders, ["kind", "word"], "inner", spread=["value"])
     by_whole = whole.select("kind", "value", "ref_id", "edits", (0.999 * (1 - EDIT_COST * F.col("edits"))).alias("score"))
 
-    every = scored_names(typed, repaired, form_words).unionByName(by_whole)
+    every = scored.unionByName(by_whole)
     best = every.groupBy("kind", "value", "ref_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("edits")).alias("e"))).alias("r"))
     order = Window.partitionBy("kind", "value").orderBy(F.col("r").desc(), "ref_id")
     ranked = best.withColumn("__n", F.row_number().over(order)).withColumn("__next", F.lead("r").over(order)).filter("__n = 1")
