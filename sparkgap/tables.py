@@ -33,7 +33,10 @@ def join_few(rows: DataFrame, few: DataFrame, keys: Mapping[str, str] | Sequence
     latter don't come out. `few` is counted: up to `most` (`BROADCAST_ROWS`) rows
     it is broadcast, beyond that each of its rows is repeated for `SALTS` salts and
     every key of `rows` spreads over as many tasks by the values of `spread` (all
-    columns by default). Keys that are null match nothing unless `null_safe`.
+    columns by default). There the join is a sort-merge join by a hint: Spark
+    estimates `few` by the compressed size of its files, which says nothing about
+    its rows times `SALTS`, and would broadcast those. Keys that are null match
+    nothing unless `null_safe`.
     """
     pairs = dict(keys) if isinstance(keys, Mapping) else {k: k for k in keys}
     inner = {b: f"__few_{k}" for k, b in enumerate(pairs.values())}
@@ -44,4 +47,4 @@ def join_few(rows: DataFrame, few: DataFrame, keys: Mapping[str, str] | Sequence
         return rows.join(F.broadcast(few), match, how).drop(*inner.values())
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS))
     few = few.withColumn("__few_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return rows.withColumn("__salt", salt).join(few, [*match, F.col("__salt") == F.col("__few_salt")], how).drop(*inner.values(), "__salt", "__few_salt")
+    return rows.withColumn("__salt", salt).join(few.hint("merge"), [*match, F.col("__salt") == F.col("__few_salt")], how).drop(*inner.values(), "__salt", "__few_salt")
