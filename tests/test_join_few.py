@@ -21,7 +21,7 @@ def test_salted_rows_are_not_broadcast_however_small_spark_takes_them_for(spark)
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-@pytest.mark.parametrize("name", ["assigned_pair_requirement", "hierarchy_summary", "zone_spacing", "assigned_hierarchy_summary", "assigned_zone_spacing"])
+@pytest.mark.parametrize("name", ["assigned_pair_requirement", "hierarchy_summary", "zone_spacing", "assigned_hierarchy_summary", "assigned_zone_spacing", "pair_requirement"])
 def test_requirements_of_many_assignments_broadcast_none(spark, monkeypatch, name):
     text = lambda df: sorted(map(str, df.collect()))
     expected = text(boards.QUERIES[name](spark, FOLDER))
