@@ -104,10 +104,15 @@ def effective_gaps(pairs: DataFrame, nets: DataFrame, scope: Sequence[str], *, c
     joined = base.join(all_copper, pair, "left").join(pair_copper, pair, "left").join(others, pair, "left")
     blocked = F.greatest(F.lit(0.0), F.least("line_mm", F.coalesce("__all", F.lit(0.0)) - F.coalesce("__own", F.lit(0.0))))
     joined = settle(joined, copper_blocked_length_mm=F.when(F.col("line_mm") > SHORTEST_MM, blocked).otherwise(0.0))
+    return described(joined, pair)
+
+
+def described(gaps: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """The columns of `effective_gaps` from line_mm, copper_blocked_length_mm, `__nets` and the pairs' own."""
     on_path = F.col("copper_blocked_length_mm") > F.greatest(F.lit(1e-6), F.col("line_mm") * 1e-6)
     shown = F.concat(F.array_join(F.slice("__nets", 1, SHOWN_BLOCKERS), ", "), F.when(F.size("__nets") > SHOWN_BLOCKERS, " ...").otherwise(""))
     gap = F.when(F.col("line_mm") > SHORTEST_MM, F.greatest(F.lit(0.0), F.col("line_mm") - F.col("copper_blocked_length_mm"))).otherwise(F.col("clearance_mm"))
-    return joined.select(
+    return gaps.select(
         *pair, F.col("clearance_mm").alias("direct_clearance_mm"), gap.alias("effective_air_gap_mm"), "copper_blocked_length_mm", F.coalesce(on_path, F.lit(False)).alias("copper_on_path"),
         F.when(on_path, F.coalesce(shown, F.lit(""))).otherwise("").alias("blocker_nets"), *POINTS,
     )
